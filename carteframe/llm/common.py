@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a vectorised kernel works on at once; a single longer text makes a slice of its own.
@@ -57,7 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         if not batch.num_rows:
             continue
         array = batch.column(batch.schema.get_field_index(column))
-        lengths = pa.compute.fill_null(pa.compute.binary_length(array), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(array), 0).to_numpy(zero_copy_only=False)
         begin, held = 0, 0
         for i, n in enumerate(lengths.tolist()):
             if held and held + n > limit:

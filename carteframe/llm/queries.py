@@ -4,11 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
-from .common import table
+from . import bpe, decontaminate, langid, quality
+from .common import materialize, table
+
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    out = bpe.decode(ids, path)
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
+    filters = langid.fit(docs.where("not held_out and doc_id is not null"))
+    return langid.predict(docs, filters, ["doc_id", "held_out"])
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = materialize(quality.statistics(table(spark, sf_dir, "documents")), "quality")
+    forest = quality.fit(stats, table(spark, sf_dir, "labels"))
+    return quality.judge(stats, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
