@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality
+from . import bpe, decontaminate, langid, quality, substring
 from .common import materialize, table
 
 
@@ -27,6 +27,11 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, filters, ["doc_id", "held_out"])
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialize(quality.statistics(table(spark, sf_dir, "documents")), "quality")
     forest = quality.fit(stats, table(spark, sf_dir, "labels"))
