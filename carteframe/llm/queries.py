@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, substring
+from . import bpe, decontaminate, langid, minhash, quality, substring
 from .common import materialize, table
 
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.components_of(table(spark, sf_dir, "documents"), similarity=85)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
