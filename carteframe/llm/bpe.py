@@ -10,6 +10,7 @@ tokenizers library's default; repeated rows are each encoded; other columns are
 
 from __future__ import annotations
 
+import array
 import functools
 import heapq
 import json
@@ -44,10 +45,14 @@ class Vocabulary:
         model, to_byte = spec["model"], _printable()
         raw = lambda token: bytes(to_byte[c] for c in token)
         self.id_of = {raw(t): i for t, i in model["vocab"].items()}
-        self.rank_of: dict[tuple[bytes, bytes], int] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank_of.setdefault((raw(a), raw(b)), rank)
+        #: rank of each mergeable pair of ids, at first * 2**20 + second, and the id that each rank makes
+        self.rank_of: dict[int, int] = {}
+        self.made: list[int] = []
+        for pair in model["merges"]:
+            a, b = map(raw, pair.split(" ") if isinstance(pair, str) else pair)
+            self.rank_of.setdefault((self.id_of[a] << 20) + self.id_of[b], len(self.made))
+            self.made.append(self.id_of[a + b])
+        self.byte_ids = [self.id_of.get(bytes([b]), -1) for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of = {i: t for t, i in self.id_of.items()} | {i: t.encode() for t, i in self.special.items()}
         #: joined[a, b]: some token has the byte a just before the byte b
@@ -55,7 +60,7 @@ class Vocabulary:
         for token in self.id_of:
             for a, b in zip(token, token[1:]):
                 self.joined[a, b] = True
-        self.joined_flat = self.joined.ravel()
+        self.joined_after = [frozenset(np.flatnonzero(row).tolist()) for row in self.joined]
         self.pretoken = regex.compile(PRETOKEN)
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.memory: dict[str, bytes] = {}
@@ -63,52 +68,52 @@ class Vocabulary:
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """The piece cut at every byte pair that no token has inside."""
-        codes = np.frombuffer(piece, np.uint8).astype(np.int32)
-        cuts = (np.flatnonzero(~self.joined_flat[codes[:-1] * 256 + codes[1:]]) + 1).tolist()
+        after = self.joined_after
+        cuts = [i for i, (a, b) in enumerate(zip(piece, piece[1:]), 1) if b not in after[a]]
         return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)])] if cuts else [piece]
 
     def merged(self, fragment: bytes) -> list[int]:
         """Ids of one fragment: the lowest-ranked pair is merged first, the leftmost of equals."""
-        parts = [fragment[i : i + 1] for i in range(len(fragment))]
-        if len(parts) > 60:
-            return self._merged_long(parts)
+        ids = [self.byte_ids[b] for b in fragment]
+        if len(ids) > 60:
+            return self._merged_long(ids)
         rank_of, none = self.rank_of.get, 1 << 60
-        ranks = [rank_of(pair, none) for pair in zip(parts, parts[1:])]
+        ranks = [rank_of((a << 20) + b, none) for a, b in zip(ids, ids[1:])]
         while ranks and (least := min(ranks)) != none:
             i = ranks.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
+            ids[i] = made = self.made[least]
+            del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank_of((parts[i - 1], parts[i]), none)
+                ranks[i - 1] = rank_of((ids[i - 1] << 20) + made, none)
             if i < len(ranks):
-                ranks[i] = rank_of((parts[i], parts[i + 1]), none)
-        return [self.id_of[p] for p in parts]
+                ranks[i] = rank_of((made << 20) + ids[i + 1], none)
+        return ids
 
-    def _merged_long(self, parts: list[bytes | None]) -> list[int]:
+    def _merged_long(self, ids: list[int]) -> list[int]:
         """The same by a heap and links: n log n steps for very long fragments."""
-        n, rank_of = len(parts), self.rank_of.get
+        n, rank_of = len(ids), self.rank_of.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank_of((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := rank_of((ids[i] << 20) + ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i = heapq.heappop(heap)
             j = after[i]
-            if parts[i] is not a or j < 0 or parts[j] is not b:
+            if ids[i] < 0 or j < 0 or rank_of((ids[i] << 20) + ids[j]) != rank:
                 continue
-            parts[i], parts[j], after[i] = a + b, None, after[j]
+            ids[i], ids[j], after[i] = self.made[rank], -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (r := rank_of((parts[left], parts[right]))) is not None:
-                    heapq.heappush(heap, (r, left, parts[left], parts[right]))
-        return [self.id_of[p] for p in parts if p is not None]
+                if left >= 0 and right >= 0 and (r := rank_of((ids[left] << 20) + ids[right])) is not None:
+                    heapq.heappush(heap, (r, left))
+        return [x for x in ids if x >= 0]
 
     def ids_of(self, pretoken: str) -> bytes:
-        """The ids of a pre-token, as little-endian 32-bit integers."""
+        """The ids of a pre-token, as 32-bit integers."""
         out = []
         for fragment in self.fragments(pretoken.encode()):
             if (ids := self.parts.get(fragment)) is None:
-                ids = np.array(self.merged(fragment), "<i4").tobytes()
+                ids = array.array("i", self.merged(fragment)).tobytes()
                 if len(fragment) <= 64:
                     if len(self.parts) >= REMEMBERED:
                         self.parts.clear()
@@ -133,7 +138,7 @@ class Vocabulary:
             return self._ordinary(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
-            out += [self._ordinary(text[at : m.start()]), np.array([self.special[m[0]]], "<i4").tobytes()]
+            out += [self._ordinary(text[at : m.start()]), array.array("i", [self.special[m[0]]]).tobytes()]
             at = m.end()
         return b"".join([*out, self._ordinary(text[at:])])
 
@@ -157,7 +162,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         for batch in slices(batches, text_col):
             got = [encoder.encode(t) if t else b"" for t in batch.column(names.index(text_col)).to_pylist()]
             ends = np.cumsum([0, *map(len, got)]) // 4
-            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(got), "<i4")))
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(got), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*names, ids_col])
 
     return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
