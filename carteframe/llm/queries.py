@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, minhash, quality, substring
-from .common import materialize, table
+from . import bpe, decontaminate, html, langid, minhash, pii, quality, sharding, substring, warc
+from .common import materialize, shared_dir, table
 
 
 
@@ -37,12 +38,36 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("pii.base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    every = pii.ordered(F.concat("pii.base", "pii.added"))
+    return found.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2(pii.digest(pii.ordered(F.col("pii.base"))), 256).alias("base_sha256"), pii.digest(every).alias("spans"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialize(quality.statistics(table(spark, sf_dir, "documents")), "quality")
     forest = quality.fit(stats, table(spark, sf_dir, "labels"))
     return quality.judge(stats, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_archives(spark, path, payloads=False))
+    size = F.coalesce("response.payload_bytes", "metadata.payload_bytes")
+    return captures.select("metadata.page_id", size.alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"), "metadata.refers_to")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
