@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .common import slices
@@ -147,7 +148,7 @@ def search(tests: TestItems, hashes: np.ndarray, first: np.ndarray) -> tuple[np.
     return origin[found], item[test], length
 
 
-def _pass(tests_of, size: int, id_type: pa.DataType):
+def _pass(tests_of, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = TestItems(tests_of.value, size)
         for batch in slices(batches, "text", SHARD_BYTES):
@@ -199,21 +200,21 @@ def find_matches(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     tests = items.select(F.col(item_col).cast("string").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).where("id is not null")
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    kind = docs.schema[id_col].dataType.simpleString()
     state = "matches array<struct<item_id:string,word:bigint,length:bigint>>, spans array<struct<start:bigint,end:bigint>>, n_words bigint"
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text", T.StringType()), *T.StructType.fromDDL(state)])
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     for k in range(blocks):
         rows = [(r[0], r[1]) for r in tests.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()]
         if k:
             out = out.drop("n_words")
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(rows), size, None), f"id {kind}, text string, {state}")
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(rows), size), schema)
     spans = F.array_sort("spans") if blocks > 1 else F.col("spans")
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     add = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["start"]))).alias("n"), F.greatest(acc["end"], s["end"]).alias("end"))
     return out.select(F.col("id").alias(id_col), "n_words", F.aggregate(spans, start, add)["n"].alias("n_hit"), "matches")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", **names: str) -> DataFrame:
-    """The documents without any hit word, all columns kept. Rows with the same id are removed together."""
-    spoiled = find_matches(docs, items, size, id_col, text_col, **names).where("n_hit > 0").select(F.col(id_col).alias("_spoiled")).distinct()
-    return docs.join(spoiled, docs[id_col] == F.col("_spoiled"), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text", **names: str) -> DataFrame:
+    """The documents without any hit word, all columns kept; one pass, each row judged alone."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    return find_matches(rows, items, size, "row", "text", **names).where("n_hit = 0").select("row.*")

@@ -23,6 +23,7 @@ from . import kernels as K
 from .common import slices
 
 GRAM = 4
+UNKNOWN = "und"
 #: Labelled texts of each language that the filters learn from, at most.
 SAMPLE_TEXTS = 300
 #: N-grams of each language in its filter, at most.
@@ -116,16 +117,16 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Filt
     return Filters(languages, {k: np.array([g for g, rate in learned[k] if rate >= SHARE * most[g]], np.uint32) for k in languages})
 
 
-def predict(docs: DataFrame, filters: Filters, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """id_cols, lang_pred and score for every row."""
+def predict(docs: DataFrame, filters: Filters, id_cols: list[str], text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """id_cols, pred_col and score_col for every row."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(filters)
     rows = docs.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    schema = rows.drop("_text", "_letter").schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*id_cols).schema.add(pred_col, "string").add(score_col, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = sent.value
-        names = np.array([*filters.languages, "und"], object)
+        names = np.array([*filters.languages, UNKNOWN], object)
         for batch in slices(batches, "_text"):
             letters = batch.column(len(id_cols) + 1).to_numpy(zero_copy_only=False)
             best, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)

@@ -99,7 +99,8 @@ def found(text: Column, pattern: str, hint: str) -> Column:
 
 
 def base_spans(text: Column) -> dict[str, Column]:
-    return {k: F.filter(found(text, BASE[k], HINT[k]), lambda s, k=k: _valid(k, s["hit"])) for k in KINDS}
+    of = lambda kind: F.filter(found(text, BASE[kind], HINT[kind]), lambda s: _valid(kind, s["hit"]))
+    return {k: of(k) for k in KINDS}
 
 
 def _features(text: Column, span: Column) -> dict[str, Column]:
@@ -206,7 +207,8 @@ def spans(docs: DataFrame, models: dict[str, Trees] | None = None, text_col: str
     fresh = lambda name: next(n for n in (name + "_" * i for i in range(1, 99)) if n not in docs.columns)
     base_col, wide_col = fresh("_base"), fresh("_wide")
     staged = docs.withColumn(base_col, F.concat(*(tagged(k, v) for k, v in base_spans(text).items())))
-    wide = [tagged(k, F.filter(proposals(text, k), lambda p, m=m: m.score(lambda f: p[f]) >= m.threshold)) for k, m in models.items()]
+    chosen = lambda kind, trees: F.filter(proposals(text, kind), lambda p: trees.score(lambda f: p[f]) >= trees.threshold)
+    wide = [tagged(k, chosen(k, m)) for k, m in models.items()]
     staged = staged.withColumn(wide_col, F.concat(*wide) if wide else none)
     clear = F.filter(wide_col, lambda p: ~F.exists(base_col, lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])))
     # of overlapping additions, the first kind's stays
@@ -216,7 +218,8 @@ def spans(docs: DataFrame, models: dict[str, Trees] | None = None, text_col: str
 
 def ordered(array: Column) -> Column:
     """Spans by kind as in KINDS, then start."""
-    return F.flatten(F.array(*(F.array_sort(F.filter(array, lambda s, k=k: s["kind"] == k)) for k in KINDS)))
+    of = lambda kind: F.array_sort(F.filter(array, lambda s: s["kind"] == kind))
+    return F.flatten(F.array(*(of(k) for k in KINDS)))
 
 
 def digest(array: Column) -> Column:
