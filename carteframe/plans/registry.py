@@ -1,4 +1,4 @@
-"""Names of all queries, with their SQL forms."""
+"""Names of all queries, with their SQL forms. Query modules register themselves when imported."""
 
 from __future__ import annotations
 
@@ -8,3 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable:
+    """Registers a function (spark, sf_dir) -> DataFrame under its name, with the SQL that DuckDB can run."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def load() -> None:
+    from . import catalog, prices, quality, variants  # noqa: F401
+
+
+load()
