@@ -5,9 +5,10 @@ hash of the names they replace. Names are thus global without an exchange, and e
 near their ends. Every symbol carries the span of words that its name depends on, so it is known which symbols any
 other copy of a window must have too. Rounds in Spark:
 
-1. each document's distinct symbols, and those in two documents or more;
+1. each document's distinct symbols, and those in two documents or more; documents that copy a smaller one whole are
+   known by now and go no further;
 2. documents with such symbols: their windows in which no dependable symbol is unshared are candidates;
-3. candidates are verified by 128-bit hashes of all their words: the least document of each;
+3. candidates are verified by 96-bit hashes of all their words: the least document of each;
 4. words under windows that start in a smaller document go.
 
 Defined cases: null is as empty; texts under one window lose nothing; a row without id loses nothing and is no source;
@@ -114,20 +115,32 @@ class Texts:
         return K.covered(low[some], high[some], len(self.at))
 
     def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes, of 64 and 32 bits, of the windows at some words."""
         end = at + self.window
-        return K.span_hashes(self.hashes, at, end, _FIRST), K.span_hashes(self.hashes, at, end, _SECOND)
+        return K.span_hashes(self.hashes, at, end, _FIRST), (K.span_hashes(self.hashes, at, end, _SECOND) >> K.U(32)).astype(np.uint32)
+
+    def wholes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of all words of each text."""
+        return tuple(K.span_hashes(self.hashes, self.first[:-1], self.first[1:], base) for base in (_FIRST, _SECOND))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    return pa.array(x.view(np.int64 if x.itemsize == 8 else np.int32))
+
+
+def _among(values: np.ndarray, rows: np.ndarray, known: pa.ListArray) -> np.ndarray:
+    """Whether each value is in the list of its row; a null list is empty."""
+    owners = np.repeat(np.arange(len(known)), pc.fill_null(known.value_lengths(), 0).to_numpy(zero_copy_only=False))
+    held = K.mix(known.flatten().to_numpy(zero_copy_only=False).view(K.U) + K.mix(owners.astype(K.U)))
+    return np.isin(K.mix(values + K.mix(rows.astype(K.U))), held)
 
 
-def removed_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document that loses words: id and hashes, the windows (by the first of their two hashes) that start in a smaller one too."""
+def lost_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document that loses words: id; hashes, the windows that start in a smaller one too; wholes, its texts that are whole in a smaller one."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(symbol, id) once each; bare: the document has a window without any dependable symbol, the symbol is its own."""
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(symbol, id) once each, kind 0; kind 1: a document with a window without any dependable symbol; kind 2: a whole text and its second hash."""
         for batch in slices(batches, "text"):
             ids = batch.column(0).to_numpy()
             texts = Texts(batch.column(1), window)
@@ -136,45 +149,53 @@ def removed_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             order = np.lexsort((ids[doc], names))
             names, of = names[order], ids[doc][order]
             lead = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (of[1:] != of[:-1]))[: len(names)])
-            own = K.mix(ids[bare].astype(K.U) ^ K.U(0x1D8E4E27C47D124F))
-            flag = np.arange(len(lead) + len(bare)) >= len(lead)
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate((names[lead], own))), pa.array(np.concatenate((of[lead], ids[bare]))), pa.array(flag)], ["symbol", "id", "bare"])
+            long_ = np.flatnonzero(np.diff(texts.first) >= window)
+            x, y = (h[long_] for h in texts.wholes())
+            sizes = (len(lead), len(bare), len(long_))
+            symbol = np.concatenate((names[lead], ids[bare].astype(K.U), x))
+            second = pa.concat_arrays([pa.nulls(sizes[0] + sizes[1], pa.int64()), _signed(y)])
+            yield pa.RecordBatch.from_arrays([_signed(symbol), pa.array(np.concatenate((of[lead], ids[bare], ids[long_]))), pa.array(np.repeat(np.array([0, 1, 2], np.int32), sizes)), second], ["symbol", "id", "kind", "second"])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             ids = batch.column(0).to_numpy()
             texts = Texts(batch.column(1), window)
             names, doc, left, right = texts.dependable()
-            shared = batch.column(2)
-            owners = np.repeat(np.arange(batch.num_rows), shared.value_lengths().to_numpy(zero_copy_only=False))
-            known = K.mix(shared.flatten().to_numpy(zero_copy_only=False).view(K.U) + K.mix(owners.astype(K.U)))
-            alone = ~np.isin(K.mix(names + K.mix(doc.astype(K.U))), known)
-            open_ = ~texts.under(left[alone], right[alone], doc[alone])
+            alone = ~_among(names, doc, batch.column(2))
+            copy = _among(texts.wholes()[0], np.arange(batch.num_rows), batch.column(3))
+            owner = K.owner(texts.by_text)
+            open_ = ~texts.under(left[alone], right[alone], doc[alone]) & ~copy[owner]
             a, b = texts.keys(texts.at[open_])
-            of = ids[K.owner(texts.by_text)[open_]]
+            of = ids[owner[open_]]
             order = np.lexsort((of, a))
             a, b, of = a[order], b[order], of[order]
             lead = np.append(True, (a[1:] != a[:-1]) | (of[1:] != of[:-1]))[: len(a)]
             yield pa.RecordBatch.from_arrays([_signed(a[lead]), _signed(b[lead]), pa.array(of[lead])], ["a", "b", "id"])
 
-    found = materialize(rows.mapInArrow(occurrences, "symbol long, id long, bare boolean"), "symbols")
-    shared = found.groupBy("symbol").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("symbol").alias("shared"))
+    found = materialize(rows.mapInArrow(name, "symbol long, id long, kind int, second long"), "symbols")
+    # tables on both sides of each join, so plain exchanges, whose hot keys adaptive execution splits
+    symbols = found.where("kind = 0").select("symbol", "id")
+    shared = symbols.groupBy("symbol").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("symbol").alias("shared"))
     shared = materialize(shared, "shared-symbols")
-    # tables on both sides of the join, so plain exchanges, whose hot keys adaptive execution splits
-    flagged = found.join(shared, F.col("symbol") == F.col("shared"), "left").where("bare or shared is not null")
-    flagged = materialize(flagged.groupBy("id").agg(F.collect_list("symbol").alias("symbols")), "shared-documents")
-    texts = rows.join(flagged, "id").select("id", "text", "symbols")
-    windows = materialize(texts.mapInArrow(candidates, "a long, b long, id long"), "windows")
+    texts = found.where("kind = 2").select(F.col("symbol").alias("x"), F.col("second").alias("y"), "id")
+    first = texts.groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").drop("high")
+    copies = texts.join(materialize(first, "first-copies"), (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")) & (F.col("id") > F.col("low")))
+    copies = materialize(copies.groupBy(F.col("id").alias("copy")).agg(F.collect_set("x").alias("wholes")), "copies")
+    marked = symbols.join(shared, F.col("symbol") == F.col("shared"), "left_semi").unionByName(found.where("kind = 1").select(F.lit(None).cast("long").alias("symbol"), "id"))
+    marked = materialize(marked.groupBy("id").agg(F.collect_list("symbol").alias("symbols")), "marked")
+    marked = marked.join(copies, F.col("id") == F.col("copy"), "left").drop("copy")
+    windows = materialize(rows.join(marked, "id").select("id", "text", "symbols", "wholes").mapInArrow(candidates, "a long, b int, id long"), "windows")
     least = windows.groupBy("a", "b").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "low")
     least = materialize(least, "repeated-windows")
     lost = windows.join(least, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("id") > F.col("low")))
-    return materialize(lost.groupBy("id").agg(F.collect_list("a").alias("hashes")), "removed-windows")
+    lost = lost.groupBy("id").agg(F.collect_list("a").alias("hashes")).join(copies, F.col("id") == F.col("copy"), "full")
+    return materialize(lost.select(F.coalesce("id", "copy").alias("id"), "hashes", "wholes"), "lost-passages")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs and n_words, n_removed, kept_text (kept words joined by one space)."""
-    lost = removed_windows(docs, window, id_col, text_col).select(F.col("id").alias("_removed_id"), F.col("hashes").alias("_removed"))
-    joined = docs.join(lost, F.col(id_col) == F.col("_removed_id"), "left").drop("_removed_id")
+    lost = lost_passages(docs, window, id_col, text_col).select(F.col("id").alias("_lost_id"), F.col("hashes").alias("_hashes"), F.col("wholes").alias("_wholes"))
+    joined = docs.join(lost, F.col(id_col) == F.col("_lost_id"), "left").drop("_lost_id")
     names = docs.columns
     schema = docs.select("*").schema
     for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_text", "string")):
@@ -183,20 +204,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             texts = Texts(batch.column(names.index(text_col)), window)
-            hashes = batch.column(len(names))
+            hashes, wholes = batch.column(len(names)), batch.column(len(names) + 1)
             gone = np.zeros(len(texts.starts), bool)
             if hashes.null_count < batch.num_rows:
-                a, _ = texts.keys(texts.at)
-                owners = np.repeat(np.arange(batch.num_rows), pc.fill_null(hashes.value_lengths(), 0).to_numpy(zero_copy_only=False))
-                known = K.mix(hashes.flatten().to_numpy(zero_copy_only=False).view(K.U) + K.mix(owners.astype(K.U)))
-                hit = texts.at[np.isin(K.mix(a + K.mix(K.owner(texts.by_text).astype(K.U))), known)]
+                hit = texts.at[_among(texts.keys(texts.at)[0], K.owner(texts.by_text), hashes)]
                 gone = K.covered(hit, hit + window, len(texts.starts))
+            if wholes.null_count < batch.num_rows:
+                gone |= _among(texts.wholes()[0], np.arange(batch.num_rows), wholes)[K.owner(texts.first)]
             kept = np.flatnonzero(~gone)
             by_text = np.searchsorted(kept, texts.first)
             offsets, data = _joined_words(texts, kept, by_text)
             text = pa.Array.from_buffers(pa.string(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
             total = np.diff(texts.first)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total), pa.array(total - np.diff(by_text)), text], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(total), pa.array(total - np.diff(by_text)), text], schema.names)
 
     return joined.mapInArrow(run, schema)
 
