@@ -23,7 +23,7 @@ def query(oracle: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from . import catalog, prices, quality, variants  # noqa: F401
+    from . import catalog, exports, market, menus, prices, quality, text, variants, writes  # noqa: F401
 
 
 load()
