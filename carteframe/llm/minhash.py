@@ -34,8 +34,8 @@ SIMILARITY = 80
 HASHES, BATCH = 192, 30
 #: Probability with which banding, and again pruning, may miss a pair just at the threshold.
 MISS = 1e-6
-#: Representatives of a block when members of one bucket are compared with each other.
-BLOCK = 1024
+#: Representatives, and bytes of their texts, of a block when members of one bucket are compared with each other.
+BLOCK, BLOCK_BYTES = 512, 4_000_000
 
 
 @functools.cache
@@ -151,15 +151,22 @@ def sketch(docs: DataFrame, similarity: int, id_col: str, text_col: str) -> Data
     return source.mapInArrow(run, "id long, n long, x long, y long, signature binary")
 
 
+def _bucket_hashes(sign: np.ndarray, similarity: int) -> np.ndarray:
+    """A row of bucket numbers, one for each band, of every signature."""
+    rows, bands = plan(similarity)
+    table = sign.reshape(-1, bands, rows).astype(K.U)
+    out = np.broadcast_to(K.mix(np.arange(1, bands + 1, dtype=K.U)), table.shape[:2]).copy()
+    for k in range(rows):
+        out = K.mix(out * K.U(0x9FB21C651E98DF25) + table[:, :, k])
+    return out
+
+
 def _buckets(similarity: int):
     rows, bands = plan(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = _matrix(batch.column(1), rows * bands).reshape(-1, bands, rows).astype(K.U)
-            bucket = np.broadcast_to(K.mix(np.arange(1, bands + 1, dtype=K.U)), table.shape[:2]).copy()
-            for k in range(rows):
-                bucket = K.mix(bucket * K.U(0x9FB21C651E98DF25) + table[:, :, k])
+            bucket = _bucket_hashes(_matrix(batch.column(1), rows * bands), similarity)
             ids = np.repeat(batch.column(0).to_numpy(), bands)
             yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), pa.array(ids)], ["bucket", "rep"])
 
@@ -237,39 +244,65 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
 
 
 def _across(similarity: int):
-    """Members of one bucket, a block of all (home) and one of those outside the leader's component: likely pairs."""
+    """Members of one bucket, a block of all (home) and one of those outside the leader's component: links between components.
+
+    A pair is compared in the first bucket that it shares, and not at all once links found here connect it, so that no
+    more links leave than members came."""
     rows, bands = plan(similarity)
 
     def run(table: pa.Table) -> pa.Table:
-        ids, label, home = table["rep"].to_numpy(), table["label"].to_numpy(), table["home"].to_numpy()
+        ids, label, home, n = (table[c].to_numpy() for c in ("rep", "label", "home", "n"))
         sign = _matrix(table["signature"].combine_chunks(), rows * bands)
-        here, found = np.flatnonzero(home), []
-        for i in np.flatnonzero(~home):
-            other = here[(label[here] != label[i])]
+        bucket = _bucket_hashes(sign, similarity)
+        band = int(np.flatnonzero(bucket[0].view(np.int64) == table["bucket"][0].as_py())[0])
+        values, first = shingle_sets(table["text"].combine_chunks())
+        sets: dict[int, frozenset] = {}
+        set_of = lambda i: sets.get(i) or sets.setdefault(i, frozenset(values[first[i] : first[i + 1]].tolist()))
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        here, links = np.flatnonzero(home), []
+        for i in np.flatnonzero(~home).tolist():
+            other = here[(label[here] != label[i]) & (100 * np.minimum(n[here], n[i]) >= similarity * np.maximum(n[here], n[i]))]
+            other = other[~(bucket[other, :band] == bucket[i, :band]).any(1)]
             other = other[likely(sign[other], np.broadcast_to(sign[i], (len(other), rows * bands)), similarity)]
-            found.append(np.column_stack((np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i]))))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            for k in other.tolist():
+                if find(int(label[i])) != find(int(label[k])):
+                    both = len(set_of(i) & set_of(k))
+                    if 100 * both >= similarity * (len(set_of(i)) + len(set_of(k)) - both):
+                        root[find(int(label[i]))] = find(int(label[k]))
+                        links.append((ids[i], ids[k]))
+        pairs = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
-def _rest(members: DataFrame, labels: DataFrame, known: DataFrame, similarity: int) -> DataFrame:
-    """Likely pairs between different components that share a bucket, leaders' pairs left out."""
+def _rest(members: DataFrame, labels: DataFrame, known: DataFrame, similarity: int) -> DataFrame | None:
+    """Links between different components that share a bucket, those with its leader left out; None if there is no such bucket."""
     rows = materialize(_labelled(_labelled(members, labels, "rep", "label"), labels, "leader", "lead"), "members-labelled")
     mixed = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.sum((F.col("label") != F.col("lead")).cast("long")).alias("v"))
-    mixed = materialize(mixed.where("v > 0 and m > 2").withColumnRenamed("bucket", "_bucket"), "buckets-mixed")
+    mixed = materialize(mixed.where("v > 0 and m > 2").select(F.col("bucket").alias("_bucket"), "m"), "buckets-mixed")
     if mixed.isEmpty():
-        return members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
+        return None
     rows = rows.where("rep != leader").join(mixed, F.col("bucket") == F.col("_bucket")).drop("_bucket")
-    signs = known.select(F.col("id").alias("_id"), "signature")
-    rows = materialize(rows.join(signs, F.col("rep") == F.col("_id")).drop("_id"), "members-mixed")
-    n_home, n_away = F.ceil(F.col("m") / BLOCK), F.ceil(F.col("v") / BLOCK)
-    at = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n)
-    home = rows.select("bucket", at(n_home, 1).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), n_away - 1)).alias("j"), "rep", "label", "signature", F.lit(True).alias("home"))
-    away = rows.where("label != lead").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), n_home - 1)).alias("i"), at(n_away, 2).alias("j"), "rep", "label", "signature", F.lit(False).alias("home"))
-    pairs = home.unionByName(away).groupBy("bucket", "i", "j").applyInArrow(_across(similarity), "a long, b long")
-    return pairs.distinct()
+    rows = materialize(rows.join(known.withColumnRenamed("id", "_id"), F.col("rep") == F.col("_id")).drop("_id"), "members-mixed")
+    # blocks are bounded in rows and in bytes of text
+    blocks = lambda which: F.ceil(F.greatest(F.sum(which.cast("long")) / BLOCK, F.sum(F.when(which, F.octet_length("text"))) / BLOCK_BYTES)).alias
+    strange = F.col("label") != F.col("lead")
+    sizes = materialize(rows.groupBy(F.col("bucket").alias("_bucket")).agg(blocks(F.lit(True))("homes"), blocks(strange)("aways")).where("aways > 0"), "blocks")
+    rows = rows.join(sizes, F.col("bucket") == F.col("_bucket")).drop("_bucket")
+    at = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    kept = ["rep", "label", "n", "signature", "text"]
+    home = rows.select("bucket", at("homes", 1).alias("i"), every("aways").alias("j"), *kept, F.lit(True).alias("home"))
+    away = rows.where(strange).select("bucket", every("homes").alias("i"), at("aways", 2).alias("j"), *kept, F.lit(False).alias("home"))
+    return home.unionByName(away).groupBy("bucket", "i", "j").applyInArrow(_across(similarity), "a long, b long")
 
 
 def components_of(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,9 +327,9 @@ def components_of(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "
     second = second.join(first, ["a", "b"], "left_anti")
     labels = _joined(labels, confirmed(materialize(second, "pairs"), known, similarity))
     # with other members of mixed buckets
-    third = materialize(_rest(members, labels, known, similarity), "pairs")
-    if not third.isEmpty():
-        labels = _joined(labels, confirmed(third, known, similarity))
+    third = _rest(members, labels, known, similarity)
+    if third is not None:
+        labels = _joined(labels, materialize(third, "links"))
     of_class = materialize(_labelled(classes.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "rep"), labels, "rep", "component_id").select("_x", "_y", "component_id"), "components")
     out = sketches.select("id", "n", "x", "y").join(of_class, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
