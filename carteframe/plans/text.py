@@ -76,7 +76,7 @@ def call_success_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS n_window FROM events")
 def sliding_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates.sliding_counts(B.table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 3600)
+    return rates.sliding_counts(B.table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 3600).drop("ts")
 
 
 @query()
