@@ -9,7 +9,7 @@ def run(spark, df, name, mode="append"):
 
 
 def stream(spark, tmp_path, rows, schema):
-    spark.createDataFrame(rows, schema).selectExpr("k", "id", "timestamp_seconds(t + 1000) AS ts", "value").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame(rows, schema).selectExpr("k", "id", "timestamp_seconds(t + 1200) AS ts", "value").coalesce(1).write.parquet(str(tmp_path / "in"))
     return spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
 
 
