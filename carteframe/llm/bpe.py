@@ -14,10 +14,12 @@ import array
 import functools
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,14 @@ from .common import slices
 
 #: Fixed value: the pre-token pattern of this kind of vocabulary.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts without characters from U+0250 on, with their letters, numbers and spaces spelled
+#: out, so that the faster standard module can match it.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Pre-tokens whose ids a worker remembers; beyond that it starts afresh.
 REMEMBERED = 300_000
+#: Ids that are decoded at once, about.
+DECODED = 500_000
 
 
 def _printable() -> dict[str, int]:
@@ -63,7 +71,9 @@ class Vocabulary:
         self.joined_after = [frozenset(np.flatnonzero(row).tolist()) for row in self.joined]
         self.pretoken = regex.compile(PRETOKEN)
         self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.memory: dict[str, bytes] = {}
+        self.latin, self.beyond_latin = re.compile(LATIN), re.compile("[\u0250-\U0010ffff]")
+        self.memory = Memory(self)
+        self._tables()
         self.parts: dict[bytes, bytes] = {}
 
     def fragments(self, piece: bytes) -> list[bytes]:
@@ -122,16 +132,10 @@ class Vocabulary:
         return b"".join(out)
 
     def _ordinary(self, text: str) -> bytes:
-        memory, out = self.memory, []
-        for pretoken in self.pretoken.findall(text):
-            if (ids := memory.get(pretoken)) is None:
-                ids = self.ids_of(pretoken)
-                if len(pretoken) <= 64:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[pretoken] = ids
-            out.append(ids)
-        return b"".join(out)
+        find = self.pretoken if self.beyond_latin.search(text) else self.latin
+        if len(self.memory) >= REMEMBERED:
+            self.memory.clear()
+        return b"".join(map(self.memory.__getitem__, find.findall(text)))
 
     def encode(self, text: str) -> bytes:
         if self.specials is None or not self.specials.search(text):
@@ -142,8 +146,41 @@ class Vocabulary:
             at = m.end()
         return b"".join([*out, self._ordinary(text[at:])])
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def _tables(self) -> None:
+        """Bytes of all ids in one row, and where each begins."""
+        size = np.zeros(max(self.bytes_of) + 1, np.int64)
+        for i, token in self.bytes_of.items():
+            size[i] = len(token)
+        self.size, self.begin = size, np.cumsum(size) - size
+        self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(size))), np.uint8)
+
+    def decode(self, ids: np.ndarray, first: np.ndarray) -> pa.Array:
+        """Texts of rows of ids, each from first[i] to first[i + 1]. Broken UTF-8 becomes U+FFFD."""
+        size = self.size[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        data = self.flat[np.repeat(self.begin[ids] - ends[:-1], size) + np.arange(ends[-1])]
+        offsets = ends[first].astype(np.int32)
+        out = pa.Array.from_buffers(pa.string(), len(first) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        try:
+            out.validate(full=True)
+            return out
+        except pa.ArrowInvalid:
+            raw = data.tobytes()
+            return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:])], pa.string())
+
+
+class Memory(dict):
+    """Ids of pre-tokens seen before; others are encoded, and kept if short."""
+
+    def __init__(self, encoder: Vocabulary) -> None:
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, pretoken: str) -> bytes:
+        ids = self.encoder.ids_of(pretoken)
+        if len(pretoken) <= 64:
+            self[pretoken] = ids
+        return ids
 
 
 @functools.cache
@@ -177,9 +214,13 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = vocabulary(path)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                texts = [decoder.decode(ids or []) for ids in part.column(names.index(ids_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, text_col])
+            lengths = pc.fill_null(batch.column(names.index(ids_col)).value_lengths(), 0).to_numpy(zero_copy_only=False)
+            begin, group = 0, np.cumsum(lengths) // DECODED
+            for end in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]:
+                part = batch.slice(begin, end - begin)
+                ids = part.column(names.index(ids_col)).flatten().to_numpy()
+                texts = decoder.decode(ids, np.concatenate(([0], np.cumsum(lengths[begin:end]))))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*names, text_col])
+                begin = end
 
     return tokens.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
