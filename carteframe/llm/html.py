@@ -285,6 +285,9 @@ class PageGrammar:
         """Marks text as not main; the mark is taken out again when blocks are read."""
         return text.replace(">", ">\x01")
 
+    def heading(self) -> str:
+        return f"<{(h := self.one(['h2', 'h3', 'h4', 'b']))}>{self.prose(1, 4)}</{h}>" if self.chance(0.4) else ""
+
     def boilerplate(self) -> str:
         kind = int(self.rng.integers(9))
         if kind == 0:
@@ -292,13 +295,13 @@ class PageGrammar:
         if kind == 1:
             return self.wrap(["aside"], self.SIDE, f"<h3>{self.prose(1, 4)}</h3>" + self.links(1, 5) + f"<p>{self.prose(4, 30)}</p>", 0.6)
         if kind == 2:
-            return self.wrap(["div", "section", "aside"], self.NOTICE, f"<p>{self.prose(5, 30)}</p><button>{self.prose(1, 2)}</button>", 1)
+            return self.wrap(["div", "section", "aside"], self.NOTICE, self.heading() + f"<p>{self.prose(5, 30)}</p><button>{self.prose(1, 2)}</button>", 1)
         if kind == 3:
             return self.wrap(["div", "section", "aside", "ins"], self.ADVERT, self.one([self.prose(2, 25), f"<p>{self.prose(3, 25)}</p>"]), 1)
         if kind == 4:
             return f'<form action="/s"><label>{self.prose(1, 3)}</label><input><p>{self.prose(2, 12)}</p><button>{self.prose(1, 2)}</button></form>'
         if kind == 5:
-            return self.wrap(["div", "section", "ol", "ul"], self.COMMENT, "".join(f"<div><p>{self.prose(3, 40)}</p></div>" for _ in range(int(self.rng.integers(1, 5)))), 1)
+            return self.wrap(["div", "section", "ol", "ul"], self.COMMENT, self.heading() + "".join(self.one(["<div><p>{}</p></div>", "<p>{}</p>", "<li>{}</li>", "<div>{}</div>"]).format(self.prose(1, 40)) for _ in range(int(self.rng.integers(1, 5)))), 1)
         if kind == 6:
             return self.wrap(["div", "p", "ul"], self.SHARE, self.prose(1, 5), 1)
         if kind == 7:
@@ -309,19 +312,19 @@ class PageGrammar:
         parts = [f"<h1>{self.prose(2, 12)}</h1>"] if self.chance(0.85) else []
         for _ in range(int(self.rng.integers(1, 11))):
             kind = self.rng.random()
-            if kind < 0.62:
+            if kind < 0.55:
                 parts.append(f"<p>{self.prose(1, self.one([4, 90, 90]))}</p>")
-            elif kind < 0.72:
+            elif kind < 0.64:
                 parts.append(f"<p><b>{self.prose(1, 40)}<br>")
-            elif kind < 0.79:
+            elif kind < 0.70:
                 parts.append(f"<{(h := self.one(['h2', 'h3', 'h4']))}>{self.prose(1, 8)}</{h}>")
-            elif kind < 0.86:
+            elif kind < 0.77:
                 parts.append("<ul>" + "".join(f"<li>{self.prose(1, 20)}</li>" for _ in range(3)) + "</ul>")
-            elif kind < 0.91:
+            elif kind < 0.82:
                 parts.append(f"<blockquote><p>{self.prose(4, 40)}</p></blockquote>")
-            elif kind < 0.95:
+            elif kind < 0.86:
                 parts.append(f"<table><tr><td>{self.prose(1, 4)}</td><td>{self.prose(1, 4)}</td></tr></table>")
-            elif self.chance(0.6):
+            elif self.chance(0.8):
                 parts.append(self.off(self.boilerplate()))
             else:
                 parts.append(f"<div>{self.prose(3, 60)}</div>")
@@ -335,11 +338,12 @@ class PageGrammar:
         foot = self.off(f"<footer>{self.one(['&copy; ', 'Copyright ', ''])}{self.prose(1, 20)}</footer>") if self.chance(0.7) else ""
         top = self.off(f"<nav>{self.links(2, 8)}</nav>") if self.chance(0.6) else ""
         found = blocks(f"<html>{head}<body>{top}{around(0.8)}{self.main()}{around(0.8)}{foot}</body></html>")
-        return [(t.replace("\x01", "").strip() or ".", p.replace("\x01", ""), k) for t, p, k in found], [int("\x01" not in t) for t, _, _ in found]
+        found = [b for b in found if b[0].strip("\x01 ")]
+        return [(t.replace("\x01", "").strip(), p, k) for t, p, k in found], [int("\x01" not in t) for t, _, _ in found]
 
 
 @functools.cache
-def trained(pages: int = 1000, epochs: int = 12, seed: int = 3) -> Labeller:
+def trained(pages: int = 1500, epochs: int = 12, seed: int = 3) -> Labeller:
     """The labeller after training; some twenty seconds, once in a session."""
     grammar, labeller = PageGrammar(seed), Labeller()
     drawn = [grammar.page() for _ in range(pages)]
