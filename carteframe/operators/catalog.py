@@ -122,8 +122,9 @@ def sequential_categories(lines: DataFrame, menu: Sequence[str], order: str, cat
     return lines.withColumn("inferred", F.last(category, ignorenulls=True).over(w))
 
 
-def token_similarity(a: Column, b: Column) -> Column:
-    """0 to 100: the share of the left name's tokens that the right one has, rounded half up."""
-    tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: F.length(t) > 1))
-    own, other = tokens(a), tokens(b)
+def token_similarity(a: Column, b: Column, category_a: Column | None = None, category_b: Column | None = None) -> Column:
+    """0 to 100: the share of the left name's distinguishing tokens, its category's kinds included, that the right one has."""
+    none = F.lit("")
+    own = F.array_union(names.menu_tokens(a), names.type_tokens(none if category_a is None else category_a))
+    other = F.array_union(names.menu_tokens(b), names.type_tokens(none if category_b is None else category_b))
     return F.when(F.size(own) == 0, 0).otherwise(F.floor(100 * F.size(F.array_intersect(own, other)) / F.size(own) + 0.5).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import names, stats
+from ..functions import stats
 
 #: Weights of grammar, name, price, variants and flags.
 WEIGHTS = (0.30, 0.20, 0.20, 0.15, 0.15)
@@ -17,15 +17,28 @@ GRADES = (("A", 0.80), ("B", 0.60), ("C", 0.40))
 #: Penalties of a flag by severity.
 PENALTIES = {"warn": 0.15, "info": 0.05, "auto_fix": 0.02}
 #: Gate weights of items' mean, two calls and item count; threshold.
-GATE_WEIGHTS, GATE = (0.40, 0.25, 0.25, 0.10), 0.90
+GATE_WEIGHTS, GATE = (0.50, 0.25, 0.15, 0.10), 0.90
+
+
+#: Letters that garbled readings favour.
+GARBLE_LETTERS = "secrnotvw"
+
+
+def is_garbled(name: Column) -> Column:
+    """Two of: a character three times in a row, mostly garble letters, few different letters; names under four letters aren't."""
+    letters = F.lower(F.regexp_replace(name, "[^A-Za-z]", ""))
+    n = F.length(letters)
+    likely = F.length(F.regexp_replace(letters, f"[^{GARBLE_LETTERS}]", ""))
+    distinct = F.size(F.array_distinct(F.filter(F.split(letters, ""), lambda c: c != "")))
+    signals = name.rlike(r"(.)\1{2}").cast("int") + (likely / F.greatest(n, F.lit(1)) >= 0.60).cast("int") + (distinct / F.greatest(n, F.lit(1)) <= 0.40).cast("int")
+    return (n >= 4) & (signals >= 2)
 
 
 def name_score(name: Column) -> Column:
     """The lowest of length, garble and capitals scores."""
     length = F.length(F.trim(F.coalesce(name, F.lit(""))))
-    garbled = (names.vowel_ratio(name) < 0.15).cast("int") + (names.symbol_ratio(name) > 0.30).cast("int") + name.rlike("(?i)[bcdfghjklmnpqrstvwxz]{6,}").cast("int") >= 2
     caps = (name == F.upper(name)) & (length > 2)
-    return F.when(length == 0, 0.1).otherwise(F.least(F.when(length < 3, 0.3).when(length < 5, 0.6).otherwise(1.0), F.when(garbled, 0.2).otherwise(1.0), F.when(caps, 0.9).otherwise(1.0)))
+    return F.when(length == 0, 0.1).otherwise(F.least(F.when(length < 3, 0.3).when(length < 6, 0.6).otherwise(1.0), F.when(is_garbled(name), 0.2).otherwise(1.0), F.when(caps, 0.9).otherwise(1.0)))
 
 
 def flag_penalty(warns: Column, infos: Column, fixes: Column) -> Column:

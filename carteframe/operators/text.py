@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 
-#: Limits of a garbage line.
-LEAST_VOWELS, MOST_SYMBOLS, MOST_CONSONANTS = 0.20, 0.40, 6
+#: Limits of a garbage line; words that speak for a menu.
+LEAST_VOWELS, MOST_SYMBOLS, MOST_CONSONANTS = 0.20, 0.50, 6
+MENU_WORDS = ["pizza", "calzone", "sub", "sandwich", "wrap", "salad", "wing", "burger", "fries", "pasta", "spaghetti", "lasagna", "garlic", "bread", "sticks", "cheese", "cheesy", "tenders", "nuggets", "combo", "special", "appetizer", "side", "dessert"]
 PRICE = r"\$?\d{1,3}(?:\.\d{2})"
 
 
@@ -31,10 +32,18 @@ def quality(text: Column) -> dict[str, Column]:
 
 
 def is_garbage(line: Column) -> Column:
-    """Letters without vowels, or too many symbols, or a long run of consonants; a price makes it lenient."""
-    priced = line.rlike(PRICE)
-    strict = (names.vowel_ratio(line) < LEAST_VOWELS) | (names.symbol_ratio(line) > MOST_SYMBOLS) | line.rlike(f"(?i)[bcdfghjklmnpqrstvwxyz]{{{MOST_CONSONANTS},}}")
-    return F.when(F.trim(line) == "", False).when(priced, names.symbol_ratio(line) > 2 * MOST_SYMBOLS).otherwise(strict)
+    """Too few vowels, too many symbols or too long a run of consonants; a price or a menu word allows more."""
+    text = F.trim(F.regexp_replace(line, r"[ \t\n\x0B\f\r]+", " "))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    vowels = F.when(letters > 0, F.length(F.regexp_replace(F.lower(text), "[^aeiouy]", "")) / letters).otherwise(0.0)
+    symbols = F.length(F.regexp_replace(text, r"[\p{L}\p{N} ]", "")) / F.greatest(F.length(text), F.lit(1))
+    run = lambda n: F.lower(text).rlike(f"[bcdfghjklmnpqrstvwxz]{{{n + 1}}}")
+    priced, alpha = text.rlike(PRICE), letters > 0
+    menu = F.exists(F.array(*map(F.lit, MENU_WORDS)), lambda w: F.lower(text).contains(w)) | priced & alpha & (F.length(text) >= 8) | alpha & text.contains(" ") & (F.length(text) >= 15)
+    loose = (symbols > 0.85) & (vowels < 0.10) | run(MOST_CONSONANTS + 4)
+    middle = (vowels < 0.6 * LEAST_VOWELS) | run(MOST_CONSONANTS + 2) | (symbols > 1.25 * MOST_SYMBOLS)
+    strict = (vowels < LEAST_VOWELS) | run(MOST_CONSONANTS) | (symbols > MOST_SYMBOLS)
+    return F.when(F.length(text) < 2, True).when(menu, loose).when(priced, middle).otherwise(strict)
 
 
 def line_type(line: Column) -> Column:

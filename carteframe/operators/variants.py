@@ -71,23 +71,3 @@ def confidence(base: Column, has_label: Column, has_grammar: Column, on_grid: Co
     """Base plus signals minus flags, kept within 0.05 and 1."""
     raw = base + F.when(has_label, 0.10).otherwise(-0.10) + F.when(has_grammar, 0.05).otherwise(0.0) + F.when(on_grid, 0.10).otherwise(0.0) - 0.15 * warns - 0.05 * infos
     return F.greatest(F.lit(0.05), F.least(F.lit(1.0), raw))
-
-
-#: Sizes in words, in order.
-SIZE_WORDS = ["mini", "small", "medium", "large", "xlarge", "family", "party"]
-
-
-def normalized_size(label: Column) -> Column:
-    """10in, 6pc, a size word, or NULL."""
-    low = F.lower(F.trim(label))
-    inch, piece = F.regexp_extract(low, r'(\d+)\s*(?:in\b|inch|")', 1), F.regexp_extract(low, r"(\d+)\s*(?:pc|pcs|piece)", 1)
-    word = F.when(low.rlike(r"^(xs|mini)"), "mini").when(low.rlike(r"^(s|sm|small|personal)\b"), "small").when(low.rlike(r"^(m|med|medium|regular|reg)\b"), "medium").when(low.rlike(r"^(l|lg|large)\b"), "large").when(low.rlike(r"^(xl|x-large|xlarge|extra large)\b"), "xlarge").when(low.rlike(r"family"), "family").when(low.rlike(r"party"), "party")
-    bare = F.regexp_extract(low, r"^(\d+)$", 1).try_cast("int")
-    return F.when(inch != "", F.concat(inch, F.lit("in"))).when(piece != "", F.concat(piece, F.lit("pc"))).otherwise(F.coalesce(word, F.when(bare.between(6, 30), F.concat(bare.cast("string"), F.lit("in")))))
-
-
-def size_ordinal(size: Column) -> Column:
-    """Inches n, pieces 300 + n, words by place."""
-    n = F.regexp_extract(size, r"^(\d+)", 1).try_cast("int")
-    places = F.array_position(F.array(*map(F.lit, SIZE_WORDS)), size)
-    return F.when(size.endswith("in"), n).when(size.endswith("pc"), 300 + n).otherwise(F.when(places > 0, 100 + places.cast("int")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..operators import catalog
 from ..sources import bindings as B
 from .registry import query
@@ -69,19 +70,20 @@ def category_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.sequential_categories(rows, ["menu_id"], "pos", "known").select("menu_id", "pos", "inferred")
 
 
-@query(f"""WITH {B.ITEMS}, d AS (SELECT DISTINCT name FROM items), t AS (SELECT name, list_filter(list_distinct(string_split_regex(lower(name), '[^a-z0-9]+')), lambda x: length(x) > 1) AS tk FROM d)
-SELECT a.name AS a, b.name AS b, CAST(CASE WHEN len(a.tk) = 0 THEN 0 ELSE floor(100 * len(list_intersect(a.tk, b.tk)) / len(a.tk) + 0.5) END AS INT) AS score FROM t a, t b
-WHERE a.name <> b.name AND len(list_intersect(a.tk, b.tk)) > 0""")
+#: The SQL form for names without abbreviations and plurals.
+TOKENS = lambda c: f"list_filter(list_distinct(string_split_regex(lower({c}), '[^a-z0-9]+')), lambda x: length(x) > 1 AND NOT list_contains([{', '.join(repr(w) for w in names.GENERIC)}], x))"
+
+
+@query(f"""WITH {B.ITEMS}, d AS (SELECT DISTINCT name FROM items), t AS (SELECT name, {TOKENS('name')} AS tk FROM d)
+SELECT a.name AS a, b.name AS b, CAST(floor(100 * len(list_intersect(a.tk, b.tk)) / len(a.tk) + 0.5) AS INT) AS score FROM t a, t b WHERE a.name <> b.name AND len(list_intersect(a.tk, b.tk)) > 0""")
 def name_similarity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.items(spark, sf_dir).select("name").distinct()
-    word = F.explode(F.array_distinct(F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda t: F.length(t) > 1)))
+    word = F.explode(names.menu_tokens(F.col("name")))
     pairs = rows.select(F.col("name").alias("a"), word.alias("w")).join(rows.select(F.col("name").alias("b"), word.alias("w")), "w").where("a != b").select("a", "b").distinct()
     return pairs.withColumn("score", catalog.token_similarity(F.col("a"), F.col("b")))
 
 
 @query(f"""WITH {B.ITEMS} SELECT menu_id, category, count(*) AS n_items, min(pos) AS first_pos, count(DISTINCT name) AS n_names, trim(regexp_replace(lower(menu_id), '[^a-z0-9]+', '-', 'g'), '-') AS menu_slug FROM items GROUP BY 1, 2""")
 def grouped_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions import names
-
     rows = B.items(spark, sf_dir).groupBy("menu_id", "category").agg(F.count("*").alias("n_items"), F.min("pos").alias("first_pos"), F.countDistinct("name").alias("n_names"))
     return rows.withColumn("menu_slug", names.slug(F.col("menu_id")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import prices as P
 from ..operators import catalog, market
 from ..sources import bindings as B
+from .catalog import TOKENS
 from .registry import query
 
 _SPLIT = B.ITEMS + ", own AS (SELECT * FROM items WHERE pos % 2 = 0), anchors AS (SELECT *, pos % 10 AS place FROM items WHERE pos % 2 = 1)"
@@ -39,10 +40,7 @@ def price_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("pos", "price_cents", market.assessment(F.col("price_cents"), F.col("low"), F.col("high"), F.col("median")).alias("assessment"))
 
 
-_TOKENS = lambda c: f"list_filter(list_distinct(string_split_regex(lower({c}), '[^a-z0-9]+')), lambda x: length(x) > 1)"
-
-
-@query(f"""WITH {_SPLIT}, p AS (SELECT o.pos AS item_id, a.pos AS anchor_id, a.place AS place_id, a.price_cents AS anchor_price, CAST(floor(100 * len(list_intersect({_TOKENS('o.name')}, {_TOKENS('a.name')})) / len({_TOKENS('o.name')}) + 0.5) AS INT) AS similarity FROM own o JOIN anchors a USING (menu_id, category)),
+@query(f"""WITH {_SPLIT}, p AS (SELECT o.pos AS item_id, a.pos AS anchor_id, a.place AS place_id, a.price_cents AS anchor_price, CAST(CASE WHEN len({TOKENS('o.name')}) = 0 THEN 0 ELSE floor(100 * len(list_intersect({TOKENS('o.name')}, {TOKENS('a.name')})) / len({TOKENS('o.name')}) + 0.5) END AS INT) AS similarity FROM own o JOIN anchors a USING (menu_id, category)),
 n AS (SELECT *, row_number() OVER (PARTITION BY item_id, place_id ORDER BY similarity DESC, anchor_price, anchor_id) AS k FROM p WHERE similarity >= 50)
 SELECT item_id, anchor_id, similarity, CAST(row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, anchor_price, anchor_id) AS INT) AS rank FROM n WHERE k <= 2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, anchor_price, anchor_id) <= 8""")
 def market_sources_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,9 @@ _GRADE = lambda s: f"CASE WHEN {s} >= 0.80 THEN 'A' WHEN {s} >= 0.60 THEN 'B' WH
 _SIGNALS = B.ITEMS + """, g AS (SELECT menu_id, pos, category, CASE WHEN pos % 23 = 0 THEN '' WHEN pos % 29 = 0 THEN 'XY' WHEN pos % 31 = 0 THEN upper(name) ELSE name END AS name,
   CASE WHEN pos % 13 = 0 THEN 0 ELSE price_cents END AS price_cents, CASE WHEN pos % 5 <> 0 THEN (pos % 100) / 100.0::DOUBLE END AS grammar, CASE WHEN pos % 3 <> 0 THEN (pos % 50) / 50.0::DOUBLE END AS vconf,
   pos % 4 AS warns, pos % 3 AS infos, pos % 2 AS fixes FROM items),
-c AS (SELECT *, length(trim(name)) AS len, length(regexp_replace(name, '[^A-Za-z]', '', 'g')) AS letters FROM g),
-q AS (SELECT *, CASE WHEN len = 0 THEN 0.1::DOUBLE ELSE least(CASE WHEN len < 3 THEN 0.3::DOUBLE WHEN len < 5 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END,
-  CASE WHEN CAST(CASE WHEN letters > 0 THEN length(regexp_replace(name, '[^AEIOUaeiou]', '', 'g')) / letters ELSE 0 END < 0.15 AS INT) + CAST(length(regexp_replace(name, '[A-Za-z0-9 ]', '', 'g')) / len > 0.30 AS INT) + CAST(regexp_matches(name, '(?i)[bcdfghjklmnpqrstvwxz]{6,}') AS INT) >= 2 THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END,
+c AS (SELECT *, length(trim(name)) AS len, lower(regexp_replace(name, '[^A-Za-z]', '', 'g')) AS letters FROM g),
+q AS (SELECT *, CASE WHEN len = 0 THEN 0.1::DOUBLE ELSE least(CASE WHEN len < 3 THEN 0.3::DOUBLE WHEN len < 6 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END,
+  CASE WHEN length(letters) >= 4 AND CAST(length(regexp_replace(letters, '[^secrnotvw]', '', 'g')) / length(letters) >= 0.60 AS INT) + CAST(len(list_distinct(string_split(letters, ''))) / length(letters) <= 0.40 AS INT) >= 2 THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END,
   CASE WHEN name = upper(name) AND len > 2 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END) END AS nscore, greatest(0.0::DOUBLE, 1.0::DOUBLE - (0.15::DOUBLE * warns + 0.05::DOUBLE * infos + 0.02::DOUBLE * fixes)) AS fscore FROM c),
 scored AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, round(0.30::DOUBLE * coalesce(grammar, 0.5::DOUBLE) + 0.20::DOUBLE * nscore + 0.20::DOUBLE * CASE WHEN price_cents > 0 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END + 0.15::DOUBLE * coalesce(vconf, 0.5::DOUBLE) + 0.15::DOUBLE * fscore, 4))) AS score FROM q)"""
 
@@ -72,7 +72,7 @@ def pipeline_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RUNS = """runs AS (SELECT l_orderkey AS run, avg(1 - l_discount) AS mean, count(*) AS n, CASE WHEN l_orderkey % 3 <> 0 THEN 1 - max(l_tax) END AS call2, CASE WHEN l_orderkey % 4 = 0 THEN 1 - min(l_tax) END AS call3 FROM lineitem GROUP BY l_orderkey),
-gated AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, round(mean * (0.40::DOUBLE + CASE WHEN call2 IS NULL THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN call3 IS NULL THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END) + CASE WHEN call2 IS NULL THEN 0.0::DOUBLE ELSE call2 * 0.25::DOUBLE END + CASE WHEN call3 IS NULL THEN 0.0::DOUBLE ELSE call3 * 0.25::DOUBLE END
+gated AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, round(mean * (0.50::DOUBLE + CASE WHEN call2 IS NULL THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN call3 IS NULL THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END) + CASE WHEN call2 IS NULL THEN 0.0::DOUBLE ELSE call2 * 0.25::DOUBLE END + CASE WHEN call3 IS NULL THEN 0.0::DOUBLE ELSE call3 * 0.15::DOUBLE END
   + CASE WHEN n >= 10 THEN 1.0::DOUBLE WHEN n >= 5 THEN 0.8::DOUBLE WHEN n >= 3 THEN 0.6::DOUBLE WHEN n >= 1 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END * 0.10::DOUBLE, 4))) AS score FROM runs)"""
 
 

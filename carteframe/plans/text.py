@@ -20,9 +20,15 @@ def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text").withColumns(made).select("doc_id", "chars", "tokens", F.round("symbol_ratio", 4).alias("symbol_ratio"), F.round("upper_ratio", 4).alias("upper_ratio"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
-r AS (SELECT *, length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS letters, CASE WHEN length(line) > 0 THEN length(regexp_replace(line, '[A-Za-z0-9 ]', '', 'g')) / length(line) ELSE 0 END AS sr FROM l),
-g AS (SELECT doc_id, CASE WHEN trim(line) = '' THEN false WHEN regexp_matches(line, '\\$?\\d{1,3}(?:\\.\\d{2})') THEN sr > 0.80 ELSE CASE WHEN letters > 0 THEN length(regexp_replace(line, '[^AEIOUaeiou]', '', 'g')) / letters ELSE 0 END < 0.20 OR sr > 0.40 OR regexp_matches(line, '(?i)[bcdfghjklmnpqrstvwxyz]{6,}') END AS bad FROM r)
+_MENU_WORD = " OR ".join(f"contains(lower(t), '{w}')" for w in X.MENU_WORDS)
+_RUN = lambda n: f"regexp_matches(lower(t), '[bcdfghjklmnpqrstvwxz]{{{n + 1}}}')"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS t FROM documents),
+r AS (SELECT *, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(t, '[\p{{L}}\p{{N}} ]', '', 'g')) / greatest(length(t), 1) AS sr, regexp_matches(t, '\$?\d{{1,3}}(?:\.\d{{2}})') AS priced FROM l),
+v AS (SELECT *, CASE WHEN letters > 0 THEN length(regexp_replace(lower(t), '[^aeiouy]', '', 'g')) / letters ELSE 0 END AS vr FROM r),
+g AS (SELECT doc_id, CASE WHEN length(t) < 2 THEN true WHEN {_MENU_WORD} OR (priced AND letters > 0 AND length(t) >= 8) OR (letters > 0 AND contains(t, ' ') AND length(t) >= 15) THEN (sr > 0.85 AND vr < 0.10) OR {_RUN(10)}
+  WHEN priced THEN vr < 0.12 OR {_RUN(8)} OR sr > 0.625 ELSE vr < 0.20 OR {_RUN(6)} OR sr > 0.50 END AS bad FROM v)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_garbage FROM g GROUP BY 1""")
 def garbage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.lines(B.table(spark, sf_dir, "documents"), "doc_id", "text")

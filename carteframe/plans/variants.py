@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sizes
 from ..operators import variants as V
 from ..sources import bindings as B
 from .registry import query
@@ -88,11 +89,18 @@ def variant_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT p_partkey, p_size, CASE p_partkey % 4 WHEN 0 THEN p_size || ' inch' WHEN 1 THEN p_size || ' pcs' WHEN 2 THEN list_extract(['Small', 'Med', 'LG', 'Family Size'], CAST(p_size % 4 AS INT) + 1) ELSE CAST(p_size AS VARCHAR) END AS label FROM part)
-SELECT p_partkey, label, CASE p_partkey % 4 WHEN 0 THEN p_size || 'in' WHEN 1 THEN p_size || 'pc' WHEN 2 THEN list_extract(['small', 'medium', 'large', 'family'], CAST(p_size % 4 AS INT) + 1) ELSE CASE WHEN p_size BETWEEN 6 AND 30 THEN p_size || 'in' END END AS size,
-  CAST(CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN 300 + p_size WHEN 2 THEN 100 + list_extract([2, 3, 4, 6], CAST(p_size % 4 AS INT) + 1) ELSE CASE WHEN p_size BETWEEN 6 AND 30 THEN p_size END END AS INT) AS ordinal FROM l""")
+SELECT p_partkey, label, CASE p_partkey % 4 WHEN 0 THEN p_size || 'in' WHEN 1 THEN p_size || 'pc' WHEN 2 THEN list_extract(['S', 'M', 'L', 'Family'], CAST(p_size % 4 AS INT) + 1) ELSE CASE WHEN p_size BETWEEN 6 AND 30 THEN p_size || 'in' END END AS size,
+  CAST(CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN 300 + p_size WHEN 2 THEN list_extract([20, 35, 40, 140], CAST(p_size % 4 AS INT) + 1) ELSE CASE WHEN p_size BETWEEN 6 AND 30 THEN p_size END END AS INT) AS ordinal,
+  CASE p_partkey % 4 WHEN 0 THEN 'inch' WHEN 1 THEN 'piece' WHEN 2 THEN list_extract(['word', 'word', 'word', 'portion'], CAST(p_size % 4 AS INT) + 1) ELSE CASE WHEN p_size BETWEEN 6 AND 30 THEN 'inch' END END AS track FROM l""")
 def size_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, key = F.col("p_size").cast("string"), F.col("p_partkey") % 4
     word = F.element_at(F.array(*map(F.lit, ["Small", "Med", "LG", "Family Size"])), (F.col("p_size") % 4 + 1).cast("int"))
     label = F.when(key == 0, F.concat(size, F.lit(" inch"))).when(key == 1, F.concat(size, F.lit(" pcs"))).when(key == 2, word).otherwise(size)
-    rows = B.table(spark, sf_dir, "part").select("p_partkey", label.alias("label")).withColumn("size", V.normalized_size(F.col("label")))
-    return rows.withColumn("ordinal", V.size_ordinal(F.col("size")).cast("int"))
+    rows = B.table(spark, sf_dir, "part").select("p_partkey", label.alias("label")).withColumn("size", sizes.normalized(F.col("label")))
+    return rows.withColumn("ordinal", sizes.ordinal(F.col("size")).cast("int")).withColumn("track", sizes.track(F.col("size")))
+
+
+@query("SELECT p_partkey, CASE WHEN p_name LIKE '%small%' THEN 'small' WHEN p_name LIKE '%large%' THEN 'large' ELSE CASE WHEN p_size IN (18, 20, 22, 24, 26, 28) THEN 'party' WHEN p_size = 16 THEN 'large' WHEN p_size = 14 THEN 'medium' WHEN p_size IN (8, 10, 12) THEN 'small' ELSE 'unknown' END END AS tier FROM part")
+def size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.col("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.lit('"'))
+    return B.table(spark, sf_dir, "part").select("p_partkey", sizes.tier(text).alias("tier"))

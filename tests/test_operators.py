@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from carteframe.functions import names, prices, stats
+from carteframe.functions import cleanup, geometry, names, prices, sizes, stats
 from carteframe.operators import catalog, exports, market, menus, quality, rates, text, variants, writes
 from carteframe.operators import prices as P
 from carteframe.sources import readers
@@ -86,8 +86,43 @@ def test_inversions_and_gaps(spark):
 
 def test_sizes(spark):
     df = spark.createDataFrame([('12"',), ("10 pcs",), ("Lg",), ("14",), ("99",), (None,)], "s string")
-    size = variants.normalized_size(F.col("s"))
-    assert [(r[0], r[1]) for r in df.select(size, variants.size_ordinal(size)).collect()] == [("12in", 12), ("10pc", 310), ("large", 104), ("14in", 14), (None, None), (None, None)]
+    size = sizes.normalized(F.col("s"))
+    assert [tuple(r) for r in df.select(size, sizes.ordinal(size), sizes.track(size)).collect()] == [("12in", 12, "inch"), ("10pc", 310, "piece"), ("L", 40, "word"), ("14in", 14, "inch"), (None, None, None), (None, None, None)]
+    tiers = spark.createDataFrame([('12" Sml',), ('16" Hawaiian',), ("Extra-Large",), ("Soup",), (None,)], "s string")
+    assert [r[0] for r in tiers.select(sizes.tier(F.col("s"))).collect()] == ["small", "large", "party", "unknown", "unknown"]
+    pieces = spark.createDataFrame([("20 Pcs Wings",), ("10 spicy hot Wings",), ("Wings",)], "s string")
+    assert [r[0] for r in pieces.select(sizes.piece_count(F.col("s"))).collect()] == [20, 10, None]
+
+
+@pytest.mark.parametrize(("a", "b", "score"), [("Combination", "COMBO PIZZA", 100), ("Steak & Cheese Melt", "STEAK & CHEESE SANDWICH", 67), ("Cheeseburger Melt", "Cheeseburger", 50), ("Cheese Pizza", "TRADITIONAL CHEESE PIZZA", 100), ("Pizza", "Pizza", 0)])
+def test_token_similarity(spark, a, b, score):
+    assert spark.range(1).select(catalog.token_similarity(F.lit(a), F.lit(b)).alias("s")).first().s == score
+
+
+def test_garbled_names(spark):
+    df = spark.createDataFrame([("eeesssnnn",), ("Cheese Pizza",), ("eee",)], "n string")
+    assert [r[0] for r in df.select(quality.is_garbled(F.col("n"))).collect()] == [True, False, False]
+
+
+def test_geometry(spark):
+    a, b, c = (geometry.box(*map(F.lit, v)) for v in ((0, 0, 10, 10), (15, 5, 5, 15), (30, 0, 40, 10)))
+    r = spark.range(1).select(F.round(geometry.iou(a, b), 4), geometry.iou(a, c), geometry.gap(a, c, "x"), geometry.overlap(a, b, "y")).first()
+    assert tuple(r) == (0.1429, 0.0, 20, 5)
+
+
+@pytest.mark.parametrize(
+    ("f", "raw", "clean"),
+    [(cleanup.runs, "Soooo good", "Soo good"), (cleanup.punctuation, "Garlic Knots .... 5.99 || x", "Garlic Knots 5.99 x"), (cleanup.smart_title, "BBQ chicken NY style", "BBQ Chicken NY Style"), (cleanup.token_soup, "&, A, Eb, cheese 12 BBQ oz", "cheese 12 BBQ oz"), (cleanup.with_slash, "ham w/ cheese", "ham with cheese"), (cleanup.tier_url, " HTTP://A.com/x/?q=1#f", "http://a.com/x")],
+)
+def test_cleanup(spark, f, raw, clean):
+    assert spark.createDataFrame([(raw,)], "t string").select(f(F.col("t")).alias("t")).first().t == clean
+
+
+def test_descriptions(spark):
+    df = spark.createDataFrame([("Pie", "Pie - with apples , warm"), ("Tea", ""), ("Soup - hot and red", None)], "n string, d string")
+    got = df.select(cleanup.description(F.col("n"), F.col("d")).alias("d"), cleanup.split_name(F.col("n"), F.col("d")).alias("s")).collect()
+    assert [r.d for r in got] == ["with apples, warm", None, None]
+    assert tuple(got[2].s) == ("Soup", "hot and red") and got[0].s.name == "Pie"
 
 
 def test_semantic_score_without_signals(spark):
