@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a vectorised kernel works on at once; a single longer text makes a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -48,6 +54,44 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_sample(df: DataFrame, hash_col: str, rows: int) -> DataFrame:
+    """At most rows rows of df, one for each hash: of each of rows buckets of hash_col (long) the least hash.
+
+    The choice is one aggregate with partial aggregation, and only as many hashes as there are buckets are sent out, so
+    nothing grows with the input, and rows of one hash, however many, count once."""
+    picked = df.groupBy(F.pmod(F.col(hash_col), F.lit(rows)).alias("_bucket")).agg(F.min(hash_col).alias(hash_col)).select(hash_col)
+    return df.join(F.broadcast(picked), hash_col, "left_semi").dropDuplicates([hash_col])
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow with batches of BATCH_ROWS rows at most: whole texts can be long, and the session's default of ten
+    thousand of them doesn't bound memory. A smaller setting of the session stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(ARROW_ROWS)) <= BATCH_ROWS:
+        conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    return df.mapInArrow(_lean(run), schema)
+
+
+def _lean(run: Callable) -> Callable:
+    """run, giving freed memory back to the system when a task ends: idle workers stay, and executors count them."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return task
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the strings in column come to about limit bytes each."""
     for batch in batches:

@@ -52,8 +52,7 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialize(quality.statistics(table(spark, sf_dir, "documents")), "quality")
-    forest = quality.fit(stats, table(spark, sf_dir, "labels"))
-    return quality.judge(stats, forest).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return quality.judge(stats, quality.fit(stats, table(spark, sf_dir, "labels"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
