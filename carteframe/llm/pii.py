@@ -20,10 +20,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread_sample
+
 #: Kinds in the order of their spans.
 KINDS = ("email", "ip", "card", "phone")
-#: Proposals that training may see, at most.
-SAMPLE_ROWS = 20_000
+#: Texts and proposals that training may see, at most.
+SAMPLE_TEXTS, SAMPLE_ROWS = 4000, 20_000
 #: Precision on held-out proposals at which a kind's threshold is set, rounds, rate.
 PRECISION, ROUNDS, RATE = 0.99, 20, 0.3
 
@@ -185,12 +187,14 @@ def boosted(x: np.ndarray, y: np.ndarray) -> Trees | None:
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> dict[str, Trees]:
-    """Trees of each kind from the SAMPLE_ROWS proposals of least hash."""
-    texts = docs.where(F.col(text_col).rlike(r"[0-9@]|\(at\)|\[at\]")).select(F.col(text_col).alias("text"))
-    base = texts.select("text", *(v.alias(f"_{k}") for k, v in base_spans(F.col("text")).items()))
+    """Trees of each kind from the proposals of a bounded sample of SAMPLE_TEXTS texts, SAMPLE_ROWS at most."""
+    texts = docs.where(F.col(text_col).rlike(r"[0-9@]|\(at\)|\[at\]")).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    texts = spread_sample(texts, "h", SAMPLE_TEXTS)
+    base = texts.select("text", "h", *(v.alias(f"_{k}") for k, v in base_spans(F.col("text")).items()))
     holds = lambda kind: F.transform(proposals(F.col("text"), kind), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("p"), F.exists(F.col(f"_{kind}"), lambda b: (b["start"] >= p["start"] - 2) & (b["end"] <= p["end"]) & (2 * (b["end"] - b["start"]) > p["end"] - p["start"])).alias("y")))
-    rows = base.select(F.explode(F.concat(*(holds(k) for k in KINDS))).alias("c"), F.xxhash64("text").alias("h")).select("c.kind", "c.y", "c.p", "h", F.xxhash64("h", "c.p.start", "c.kind").alias("order"))
-    sample = rows.orderBy("order", "h").limit(SAMPLE_ROWS).select("kind", F.col("y").cast("int").alias("y"), *(F.col(f"p.{f}").alias(f) for f in FEATURES)).collect()
+    rows = base.select(F.explode(F.concat(*(holds(k) for k in KINDS))).alias("c"), "h").select("c.kind", "c.y", "c.p", "h", F.xxhash64("h", "c.p.start", "c.kind").alias("order"))
+    sample = spread_sample(rows, "order", SAMPLE_ROWS).select("order", "kind", F.col("y").cast("int").alias("y"), *(F.col(f"p.{f}").alias(f) for f in FEATURES)).collect()
+    sample.sort(key=lambda r: r["order"])
     out = {}
     for kind in KINDS:
         own = [r for r in sample if r["kind"] == kind]
