@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import map_arrow, slices
 
 #: Fixed value: the pre-token pattern of this kind of vocabulary.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -146,6 +146,11 @@ class Vocabulary:
             at = m.end()
         return b"".join([*out, self._ordinary(text[at:])])
 
+    def forget(self) -> None:
+        """Drops what was remembered; an idle worker needs no memory."""
+        self.memory.clear()
+        self.parts.clear()
+
     def _tables(self) -> None:
         """Bytes of all ids in one row, and where each begins."""
         size = np.zeros(max(self.bytes_of) + 1, np.int64)
@@ -201,8 +206,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
             ends = np.cumsum([0, *map(len, got)]) // 4
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(got), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*names, ids_col])
+        encoder.forget()
 
-    return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
+    return map_arrow(docs.select(*(F.col(f"`{n}`") for n in names)), run, schema)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -223,4 +229,4 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*names, text_col])
                 begin = end
 
-    return tokens.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
+    return map_arrow(tokens.select(*(F.col(f"`{n}`") for n in names)), run, schema)

@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import slices
+from .common import map_arrow, slices
 
 #: Bytes of test text in one block; each block is one pass over the documents.
 BLOCK_BYTES = 16_000_000
@@ -191,30 +192,49 @@ def _joined(a: pa.ListArray, b: pa.ListArray) -> pa.Array:
     return pa.array([(x or []) + (y or []) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], b.type)
 
 
+def _blocks(spark: SparkSession, items: DataFrame, item_col: str, item_text: str) -> Iterator[Broadcast]:
+    """The test items in broadcasts of BLOCK_BYTES of text, about; one at least."""
+    tests = items.select(F.col(item_col).cast("string").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).where("id is not null")
+    total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    for k in range(blocks):
+        yield spark.sparkContext.broadcast([(r[0], r[1]) for r in tests.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()])
+
+
 def find_matches(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_hit, matches (of each item the longest verbatim match: item_id, word, length).
 
     A word is hit if it is inside any occurrence of a window: size consecutive words of an item, or all of a shorter one.
     """
-    spark = docs.sparkSession
-    tests = items.select(F.col(item_col).cast("string").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).where("id is not null")
-    total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
     state = "matches array<struct<item_id:string,word:bigint,length:bigint>>, spans array<struct<start:bigint,end:bigint>>, n_words bigint"
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("text", T.StringType()), *T.StructType.fromDDL(state)])
     out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    for k in range(blocks):
-        rows = [(r[0], r[1]) for r in tests.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()]
-        if k:
-            out = out.drop("n_words")
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(rows), size), schema)
-    spans = F.array_sort("spans") if blocks > 1 else F.col("spans")
+    blocks = list(_blocks(docs.sparkSession, items, item_col, item_text))
+    for k, tests in enumerate(blocks):
+        out = map_arrow(out.drop("n_words") if k else out, _pass(tests, size), schema)
+    spans = F.array_sort("spans") if len(blocks) > 1 else F.col("spans")
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     add = lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["start"]))).alias("n"), F.greatest(acc["end"], s["end"]).alias("end"))
     return out.select(F.col("id").alias(id_col), "n_words", F.aggregate(spans, start, add)["n"].alias("n_hit"), "matches")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text", **names: str) -> DataFrame:
-    """The documents without any hit word, all columns kept; one pass, each row judged alone."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
-    return find_matches(rows, items, size, "row", "text", **names).where("n_hit = 0").select("row.*")
+def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without any hit word, all columns kept; a pass for each block of items, each row judged alone."""
+
+    def clean(tests_of):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tests = TestItems(tests_of.value, size)
+            for batch in slices(batches, text_col, SHARD_BYTES):
+                data, offsets = K.buffers(batch.column(batch.schema.get_field_index(text_col)))
+                starts, ends, first = K.words(data, offsets, K.ALNUM)
+                at, *_ = search(tests, K.word_hashes(data, starts, ends, lower=True), first)
+                good = np.ones(batch.num_rows, bool)
+                good[np.searchsorted(first, at, "right") - 1] = False
+                yield batch.filter(pa.array(good))
+
+        return run
+
+    out = docs
+    for tests in _blocks(docs.sparkSession, items, item_col, item_text):
+        out = map_arrow(out, clean(tests), docs.schema)
+    return out

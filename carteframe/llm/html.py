@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import slices
+from .common import map_arrow, slices
 
 #: Elements that don't end a block, that have no content, and whose content is never text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -368,4 +368,4 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", la
                 at += len(page)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*names, text_col])
 
-    return pages.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(run, schema)
+    return map_arrow(pages.select(*(F.col(f"`{n}`") for n in names)), run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import slices
+from .common import map_arrow, slices
 
 GRAM = 4
 UNKNOWN = "und"
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Filt
                 found, n = np.unique(codes[by_text == name], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counted = texts.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = map_arrow(texts.select("lang", "text"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counted.withColumn("total", F.sum("n").over(W.partitionBy("lang"))).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= SAMPLE_GRAMS)
     learned: dict[str, list[tuple[int, float]]] = {}
     for lang, gram, n, total in best.select("lang", "gram", "n", "total").collect():
@@ -121,19 +121,22 @@ def predict(docs: DataFrame, filters: Filters, id_cols: list[str], text_col: str
     """id_cols, pred_col and score_col for every row."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(filters)
-    rows = docs.select(*id_cols, F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    schema = docs.select(*id_cols).schema.add(pred_col, "string").add(score_col, "double")
+    kept = [F.col(f"`{c}`") for c in id_cols]
+    own = [] if text_col in id_cols else [F.col(text_col).alias("_text")]
+    rows = docs.select(*kept, *own, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    width, at, name = len(id_cols) + len(own), len(id_cols) if own else id_cols.index(text_col), "_text" if own else text_col
+    schema = docs.select(*kept).schema.add(pred_col, "string").add(score_col, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = sent.value
         names = np.array([*filters.languages, UNKNOWN], object)
-        for batch in slices(batches, "_text"):
-            letters = batch.column(len(id_cols) + 1).to_numpy(zero_copy_only=False)
+        for batch in slices(batches, name):
+            letters = batch.column(width).to_numpy(zero_copy_only=False)
             best, score = np.full(batch.num_rows, len(names) - 1), np.zeros(batch.num_rows)
             if len(names) > 1:
-                counts = filters.counts(*K.buffers(batch.column(len(id_cols))))
+                counts = filters.counts(*K.buffers(batch.column(at)))
                 best[letters] = counts.argmax(1)[letters]
                 score[letters] = (counts.max(1) / np.maximum(counts.sum(1), 1e-9))[letters]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize, slices
+from .common import map_arrow, materialize, slices
 
 SHINGLE = 5
 #: Default similarity in hundredths; a link has 100 * intersection >= SIMILARITY * union.
@@ -148,7 +148,7 @@ def sketch(docs: DataFrame, similarity: int, id_col: str, text_col: str) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *prints, _binary(signatures(values, first, hashes))], ["id", "n", "x", "y", "signature"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return source.mapInArrow(run, "id long, n long, x long, y long, signature binary")
+    return map_arrow(source, run, "id long, n long, x long, y long, signature binary")
 
 
 def _bucket_hashes(sign: np.ndarray, similarity: int) -> np.ndarray:
@@ -204,7 +204,7 @@ def confirmed(pairs: DataFrame, known: DataFrame, similarity: int) -> DataFrame:
     of = lambda s: known.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "signature", "text")))
     both = pairs.join(of("b"), F.col("b") == F.col("id_b")).join(of("a"), F.col("a") == F.col("id_a"))
     rows = both.select("a", "b", "n_a", "n_b", "signature_a", "signature_b", "text_a", "text_b")
-    return materialize(rows.mapInArrow(_confirm(similarity), "a long, b long").distinct(), "links")
+    return materialize(map_arrow(rows, _confirm(similarity), "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -311,7 +311,7 @@ def components_of(docs: DataFrame, similarity: int = SIMILARITY, id_col: str = "
     # equal sets are one class, of which the least id stands for all
     usable = sketches.where("id is not null and x is not null")
     classes = materialize(usable.groupBy("x", "y").agg(F.min("id").alias("rep"), F.min_by("signature", "id").alias("signature"), F.min("n").alias("n")), "classes")
-    buckets = classes.select("rep", "signature").mapInArrow(_buckets(similarity), "bucket long, rep long")
+    buckets = map_arrow(classes.select("rep", "signature"), _buckets(similarity), "bucket long, rep long")
     leaders = materialize(buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("m")).where("m > 1").select(F.col("bucket").alias("_bucket"), "leader"), "leaders")
     members = materialize(buckets.join(leaders, F.col("bucket") == F.col("_bucket")).drop("_bucket"), "members")
     asked = members.select(F.col("rep").alias("_id")).distinct()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialize, slices
+from .common import map_arrow, materialize, slices
 
 #: Consecutive words of a repeat.
 WINDOW = 50
@@ -172,7 +172,7 @@ def lost_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             lead = np.append(True, (a[1:] != a[:-1]) | (of[1:] != of[:-1]))[: len(a)]
             yield pa.RecordBatch.from_arrays([_signed(a[lead]), _signed(b[lead]), pa.array(of[lead])], ["a", "b", "id"])
 
-    found = materialize(rows.mapInArrow(name, "symbol long, id long, kind int, second long"), "symbols")
+    found = materialize(map_arrow(rows, name, "symbol long, id long, kind int, second long"), "symbols")
     # tables on both sides of each join, so plain exchanges, whose hot keys adaptive execution splits
     symbols = found.where("kind = 0").select("symbol", "id")
     shared = symbols.groupBy("symbol").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("symbol").alias("shared"))
@@ -184,7 +184,7 @@ def lost_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     marked = symbols.join(shared, F.col("symbol") == F.col("shared"), "left_semi").unionByName(found.where("kind = 1").select(F.lit(None).cast("long").alias("symbol"), "id"))
     marked = materialize(marked.groupBy("id").agg(F.collect_list("symbol").alias("symbols")), "marked")
     marked = marked.join(copies, F.col("id") == F.col("copy"), "left").drop("copy")
-    windows = materialize(rows.join(marked, "id").select("id", "text", "symbols", "wholes").mapInArrow(candidates, "a long, b int, id long"), "windows")
+    windows = materialize(map_arrow(rows.join(marked, "id").select("id", "text", "symbols", "wholes"), candidates, "a long, b int, id long"), "windows")
     least = windows.groupBy("a", "b").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "low")
     least = materialize(least, "repeated-windows")
     lost = windows.join(least, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("id") > F.col("low")))
@@ -193,7 +193,8 @@ def lost_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs and n_words, n_removed, kept_text (kept words joined by one space)."""
+    """All columns of docs and n_words, n_removed, kept_text (kept words joined by one space); columns already so named are replaced."""
+    docs = docs.drop("n_words", "n_removed", "kept_text")
     lost = lost_passages(docs, window, id_col, text_col).select(F.col("id").alias("_lost_id"), F.col("hashes").alias("_hashes"), F.col("wholes").alias("_wholes"))
     joined = docs.join(lost, F.col(id_col) == F.col("_lost_id"), "left").drop("_lost_id")
     names = docs.columns
@@ -218,7 +219,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             total = np.diff(texts.first)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(total), pa.array(total - np.diff(by_text)), text], schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)
 
 
 def _joined_words(texts: Texts, kept: np.ndarray, by_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 
 #: Captures of one file, at most.
 FILE_CAPTURES = 20_000
@@ -158,7 +158,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                         rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return files.mapInArrow(run, RECORD)
+    return map_arrow(files, run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
