@@ -126,10 +126,9 @@ def gate(runs: DataFrame, mean: str = "mean", n: str = "n", call2: str = "call2"
 
 
 def sweep(scores: DataFrame, low: int = 50, high: int = 99, step: int = 5) -> DataFrame:
-    """Passes and fails at thresholds of low to high hundredths: one histogram, then running sums over its few bins."""
+    """Passes and fails at thresholds of low to high hundredths: one histogram, whose few bins meet each threshold."""
     bins = scores.groupBy(F.floor(F.round(F.col("score") * 10000) / 100).cast("int").alias("bin")).agg(F.count("*").alias("c"))
-    grid = scores.sparkSession.range(low, high + 1, step).select(F.col("id").cast("int").alias("threshold"))
-    joined = F.broadcast(grid).join(bins)  # a stated, fixed list of thresholds against at most 101 bins
+    joined = bins.withColumn("threshold", F.explode(F.sequence(F.lit(low), F.lit(high), F.lit(step))))
     return joined.groupBy("threshold").agg(F.sum(F.when(F.col("bin") >= F.col("threshold"), F.col("c")).otherwise(0)).alias("n_pass"), F.sum(F.when(F.col("bin") < F.col("threshold"), F.col("c")).otherwise(0)).alias("n_fail"))
 
 

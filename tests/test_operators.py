@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carteframe.functions import cleanup, geometry, names, prices, sizes, stats
-from carteframe.operators import catalog, exports, market, menus, quality, rates, text, variants, writes
+from carteframe.operators import catalog, drafts, exports, market, menus, quality, rates, text, variants, writes
 from carteframe.operators import prices as P
 from carteframe.sources import readers
 
@@ -261,3 +261,19 @@ def test_empty_tables(spark):
     assert catalog.duplicate_names(none, ["menu_id"]).count() == 0
     assert menus.diff(none, none, ["menu_id"]).count() == 0
     assert market.ranges(none, none).count() == 0
+
+
+def test_price_tokens(spark):
+    cases = {"$12.99": [1299], "12,50 or 599": [1250, 599], "9 99": [999], "$7": [700], "soup": [], "0.50": []}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert [r[0] for r in df.select(prices.candidates(F.col("t"))).collect()] == list(cases.values())
+
+
+def test_drafts(spark):
+    versions = spark.createDataFrame([("m", 1, False), ("m", 2, True), ("n", 1, False)], "menu string, version int, pinned boolean")
+    assert [(r.menu, r.version) for r in drafts.deletable(versions, "menu").collect()] == [("m", 1)]
+    events = spark.createDataFrame([(1, "view", 7), (2, "view", 8), (3, "click", 7)], "event_id int, event_type string, owner int")
+    subs = spark.createDataFrame([("a", 7, "view, click"), ("b", None, "View")], "subscriber string, owner int, events string")
+    assert {(r.event_id, r.subscriber) for r in drafts.fan_out(events, subs, "owner").collect()} == {(1, "a"), (3, "a"), (1, "b"), (2, "b")}
+    template = spark.createDataFrame([(1, ["x", "y"]), (2, [])], "id int, entries array<string>")
+    assert [(r.id, r.position, r.entry) for r in drafts.template_rows(template, "entries").collect()] == [(1, 1, "x"), (1, 2, "y")]
