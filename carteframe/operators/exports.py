@@ -35,9 +35,8 @@ def warnings(items: DataFrame) -> DataFrame:
 
 
 def group_inconsistency(links: DataFrame, item: str, group: str, share: float = 0.5, least: int = 3) -> DataFrame:
-    """Groups that at least share of the items with groups have, and the items that lack them (n of least items or more).
-
-    Lacking is an anti join of the few common groups against items, not all pairs with all groups."""
+    """Groups that at least share of the items with groups have, with how many have and lack them (n of least items or more);
+    group_lacking lists the items."""
     pairs = links.select(item, group).distinct()
     items = pairs.select(item).distinct()
     total = items.agg(F.count("*").alias("_n"))
@@ -45,6 +44,19 @@ def group_inconsistency(links: DataFrame, item: str, group: str, share: float =
     return common.drop("_n")
 
 
+def group_lacking(links: DataFrame, category: str, item: str, group: str, share: float = 0.5, least: int = 3) -> DataFrame:
+    """Per category the items with groups that lack a group which at least share of them have (n_items of least or more).
+
+    Blank categories don't count; an item whose groups are all blank counts, and lacks every common group. A category's
+    items meet its common groups only, which are at most 1 / share times its pairs of item and group."""
+    filled = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != ""
+    every = links.where(filled(category)).select(category, item, group).distinct()
+    items, pairs = every.select(category, item).distinct(), every.where(filled(group))
+    total = items.groupBy(category).agg(F.count("*").alias("n_items"))
+    common = pairs.groupBy(category, group).agg(F.count("*").alias("n_have")).join(total, category).where((F.col("n_items") >= least) & (F.col("n_have") >= share * F.col("n_items")))
+    return items.join(common, category).join(pairs, [category, group, item], "left_anti").select(category, group, "n_items", "n_have", item)
+
+
 def publish_rows(items: DataFrame, variants: DataFrame) -> DataFrame:
     """Items without variants as they are, and one row per variant named Item (Label)."""
     plain = items.join(variants.select("item").distinct(), "item", "left_anti").select("item", F.col("name"), F.col("price_cents"))

@@ -45,6 +45,16 @@ def group_inconsistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.group_inconsistency(links, "item", "grp")
 
 
+@query("""WITH l AS (SELECT DISTINCT c_nationkey AS category, c_custkey AS item, o_orderpriority AS grp FROM customer JOIN orders ON o_custkey = c_custkey),
+t AS (SELECT category, count(DISTINCT item) AS n_items FROM l GROUP BY 1), c AS (SELECT category, grp, max(n_items) AS n_items, count(*) AS n_have FROM l JOIN t USING (category) GROUP BY 1, 2 HAVING max(n_items) >= 3 AND count(*) >= 0.5 * max(n_items))
+SELECT c.category, c.grp, n_items, n_have, i.item FROM c JOIN (SELECT DISTINCT category, item FROM l) i USING (category) WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.category = c.category AND l.grp = c.grp AND l.item = i.item)""")
+def group_inconsistency_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole tables: nations are categories, customers items, priorities of their orders groups."""
+    customers = B.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("category"), F.col("c_custkey").alias("item"))
+    orders = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item"), F.col("o_orderpriority").alias("grp"))
+    return X.group_lacking(customers.join(orders, "item"), "category", "item", "grp")
+
+
 @query(f"WITH {_BOTH} SELECT item, name, price_cents FROM i WHERE item NOT IN (SELECT item FROM v) UNION ALL SELECT item, name || ' (' || label || ')', v.price_cents FROM v JOIN i USING (item)")
 def publish_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.publish_rows(*_both(spark, sf_dir))

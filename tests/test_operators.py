@@ -208,6 +208,21 @@ def test_publish_rows_and_wide(spark):
     assert json.loads(exports.nested_json(its, vs).first().document)[0]["variants"][1]["label"] == "S"
 
 
+def test_group_lacking(spark):
+    rows = [("E", 1, "Size"), ("E", 2, "Size"), ("E", 2, "Size"), ("E", 3, "Toppings"), ("E", 4, " "), ("S", 5, "Temp"), ("S", 6, "Size"), (" ", 7, "Size"), (None, 8, "Size"), *(("T", k, "All") for k in (9, 10, 11))]
+    got = exports.group_lacking(spark.createDataFrame(rows, "category string, item int, grp string"), "category", "item", "grp").collect()
+    assert sorted(map(tuple, got)) == [("E", "Size", 4, 2, 3), ("E", "Size", 4, 2, 4)]
+
+
+def test_group_inconsistency_all_reads_every_customer(spark, small):
+    from carteframe.plans import registry
+
+    rows = registry.QUERIES["group_inconsistency_all"](spark, small).collect()
+    orders = spark.read.parquet(f"{small}/orders.parquet").select("o_custkey").distinct()
+    per = {r.c_nationkey: r["count"] for r in spark.read.parquet(f"{small}/customer.parquet").join(orders, F.col("c_custkey") == F.col("o_custkey")).groupBy("c_nationkey").count().collect()}
+    assert rows and all(r.n_items == per[r.category] for r in rows)
+
+
 def test_merge_corrections(spark):
     its = spark.createDataFrame([(1, "A", 98, 5), (2, "b", 50, 5), (3, "c", 50, 5)], "pos int, name string, confidence int, price_cents int")
     fixes = spark.createDataFrame([("a", "confirmed", None, 1), ("B", "corrected", 9, 1), ("c", "not_found", 7, 1)], "name string, status string, new_price int, order int")
