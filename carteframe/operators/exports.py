@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import prices
+from ..functions import prices, sizes
+from .variants import steps
 
 
 def nest(parents: DataFrame, children: DataFrame, key: str, fields: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
@@ -28,12 +29,39 @@ def metrics(items: DataFrame, variants: DataFrame, category: str = "category") -
 
 
 def warnings(items: DataFrame) -> DataFrame:
-    """One row per item and warning of its own fields."""
+    """One row per item and warning of its own fields and counts; draft_warnings has all eleven rules."""
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     made = F.array(F.when(blank("name"), "missing_name"), F.when(blank("category"), "missing_category"), F.when((F.coalesce("price_cents", F.lit(0)) <= 0) & (F.col("n_variants") == 0), "missing_price"), F.when(F.col("n_variants_unpriced") > 0, "variant_missing_price"), F.when(F.col("n_labels") < F.col("n_variants"), "duplicate_variant_label"))
     return items.select("item", F.explode(F.array_compact(made)).alias("warning"))
 
 
+def draft_warnings(items: DataFrame, variants: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row per item and warning, with n: the variants or groups concerned, or 1 for a field of the item.
+
+    items have item, name, category and price_cents; variants item, grp (NULL: in no group), ordinal, label, kind and
+    price_cents; groups item, grp, required, min_select and max_select (0 or NULL: no limit). A repeated label counts
+    without regard to case; an inversion is a size cheaper than the one before it by place, then ordinal."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    count = lambda c: F.count(F.when(c, 1))
+    label = F.when(~blank("label"), F.lower(F.trim("label")))
+    counts = variants.groupBy("item").agg(F.count("*").alias("_variants"), count(none("price_cents")).alias("variant_missing_price"), count(blank("label")).alias("variant_missing_label"), (F.count(label) - F.countDistinct(label)).alias("duplicate_variant_label"))
+    sized = variants.where((F.col("kind") == "size") & ~none("price_cents")).withColumn("_place", sizes.ordinal(sizes.normalized(F.col("label")))).where("_place is not null")
+    falls = steps(sized.withColumn("_at", F.struct("_place", "ordinal", "price_cents")), ["item"], "_at").where("step < 0").groupBy("item").agg(F.lit(1).cast("bigint").alias("price_inversion"))
+    held = variants.where("grp is not null").groupBy("item", "grp").agg(F.count("*").alias("_mods"))
+    empty, least, most = none("_mods"), F.coalesce("min_select", F.lit(0)), F.coalesce("max_select", F.lit(0))
+    by_group = groups.join(held, ["item", "grp"], "left").groupBy("item").agg(
+        count(empty).alias("modifier_group_empty"), count(empty & F.col("required")).alias("required_group_empty"),
+        count((least != 0) & (most != 0) & (least > most)).alias("group_min_exceeds_max"), count((most != 0) & ~empty & (most > F.col("_mods"))).alias("group_max_exceeds_count"),
+    )
+    every = items.join(counts, "item", "left").join(falls, "item", "left").join(by_group, "item", "left")
+    own = {"missing_name": blank("name"), "missing_category": blank("category"), "missing_price": none("price_cents") & none("_variants")}
+    names = [c for x in (counts, falls, by_group) for c in x.columns if c not in ("item", "_variants")]
+    made = [F.when(c, F.lit(1).cast("bigint")).otherwise(0).alias(k) for k, c in own.items()] + [F.coalesce(k, F.lit(0)).cast("bigint").alias(k) for k in names]
+    rows = F.array(*(F.struct(F.lit(k).alias("warning"), c.alias("n")) for k, c in zip([*own, *names], made, strict=True)))
+    return every.select("item", F.inline(rows)).where("n > 0")
+
+
 def group_inconsistency(links: DataFrame, item: str, group: str, share: float = 0.5, least: int = 3) -> DataFrame:
     """Groups that at least share of the items with groups have, with how many have and lack them (n of least items or more);
     group_lacking lists the items."""

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import exports as X
 from ..sources import bindings as B
-from .registry import query
+from .registry import ORACLES, query
 
 _BOTH = B.ITEMS + ", " + B.VARIANTS + ", i AS (SELECT pos AS item, name, category, price_cents FROM items), v AS (SELECT item, ordinal, 'L' || ordinal AS label, price_cents FROM variants WHERE item % 4 <> 0)"
 _DOLLARS = lambda c: f"CASE WHEN coalesce({c}, 0) = 0 THEN '' ELSE ({c} // 100) || '.' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0') END"
 
 
-def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _whole(f: Callable[[SparkSession, str], DataFrame]) -> str:
+    """The SQL form of f over all variants."""
+    return ORACLES[f.__name__].replace(" WHERE item % 4 <> 0", "")
+
+
+def _both(spark: SparkSession, sf_dir: str, which: str = "item % 4 != 0") -> tuple[DataFrame, DataFrame]:
     items = B.items(spark, sf_dir).select(F.col("pos").alias("item"), "name", "category", "price_cents")
-    variants = B.variants(spark, sf_dir).where("item % 4 != 0").withColumn("label", F.concat(F.lit("L"), F.col("ordinal").cast("string")))
+    variants = B.variants(spark, sf_dir).where(which).withColumn("label", F.concat(F.lit("L"), F.col("ordinal").cast("string")))
     return items, variants
 
 
@@ -38,6 +45,35 @@ def export_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.warnings(items.join(counts, "item", "left").fillna(0, ["n_variants", "n_variants_unpriced", "n_labels"]))
 
 
+#: Labels by line number, and their places.
+_SIZES = {"Small": 20, "medium": 35, "LG": 40, "x-large": 50, "Half": 120, "Whole": 130, "family size": 140}
+
+
+@query(f"""WITH i AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END AS name, CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_type END AS category, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 100 END AS price FROM part),
+v AS (SELECT l_partkey AS item, nullif(l_suppkey % 4, 0) AS grp, l_orderkey * 8 + l_linenumber AS ordinal, CASE WHEN l_quantity < 49 THEN l_linenumber END AS label, CASE WHEN l_returnflag <> 'R' THEN list_extract({list(_SIZES.values())}, l_linenumber) END AS place, CASE WHEN l_tax = 0 THEN 0 ELSE CAST(round(l_extendedprice * 100) AS BIGINT) END AS price FROM lineitem),
+c AS (SELECT item, count(*) AS n, count(*) FILTER (WHERE price = 0) AS unpriced, count(*) - count(label) AS unlabelled, count(label) - count(DISTINCT label) AS repeated FROM v GROUP BY 1),
+s AS (SELECT item, price - lag(price) OVER (PARTITION BY item ORDER BY place, ordinal, price) AS step FROM v WHERE price <> 0 AND place IS NOT NULL AND label IS NOT NULL),
+g AS (SELECT p_partkey AS item, grp, p_size % 2 = 0 AS required, p_size * grp % 6 AS low, (p_partkey + grp) % 12 AS high, (SELECT count(*) FROM v WHERE v.item = p_partkey AND v.grp = t.grp) AS n FROM part, (VALUES (1), (2), (3), (4)) AS t(grp) WHERE grp < 4 OR p_partkey % 7 = 0),
+w AS (SELECT item, CASE WHEN name = '' THEN 1 ELSE 0 END AS n, 'missing_name' AS warning FROM i UNION ALL SELECT item, 1, 'missing_category' FROM i WHERE category IS NULL UNION ALL SELECT item, 1, 'missing_price' FROM i WHERE price = 0 AND item NOT IN (SELECT item FROM c)
+UNION ALL SELECT item, unpriced, 'variant_missing_price' FROM c UNION ALL SELECT item, unlabelled, 'variant_missing_label' FROM c UNION ALL SELECT item, repeated, 'duplicate_variant_label' FROM c UNION ALL SELECT DISTINCT item, 1, 'price_inversion' FROM s WHERE step < 0
+UNION ALL SELECT item, count(*), 'modifier_group_empty' FROM g WHERE n = 0 GROUP BY 1 UNION ALL SELECT item, count(*), 'required_group_empty' FROM g WHERE n = 0 AND required GROUP BY 1
+UNION ALL SELECT item, count(*), 'group_min_exceeds_max' FROM g WHERE low > 0 AND high > 0 AND low > high GROUP BY 1 UNION ALL SELECT item, count(*), 'group_max_exceeds_count' FROM g WHERE n > 0 AND high > n GROUP BY 1)
+SELECT item, warning, n FROM w WHERE n > 0""")
+def export_warnings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lineitem rows as variants, blanked labels and prices in place of dropped rows, and groups of modifiers."""
+    key, line = F.col("p_partkey"), F.col("l_linenumber")
+    parts = B.table(spark, sf_dir, "part")
+    items = parts.select(key.alias("item"), F.when(key % 17 == 0, "").otherwise(F.col("p_name")).alias("name"), F.when(key % 19 != 0, F.col("p_type")).alias("category"), F.when(key % 5 == 0, 0).otherwise(100).alias("price_cents"))
+    label = F.when(F.col("l_quantity") < 49, F.try_element_at(F.array(*map(F.lit, _SIZES)), line)).otherwise(" ")
+    variants = B.table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("item"), F.nullif(F.col("l_suppkey") % 4, F.lit(0)).alias("grp"), (F.col("l_orderkey") * 8 + line).alias("ordinal"), label.alias("label"),
+        F.when(F.col("l_returnflag") != "R", "size").otherwise("addon").alias("kind"), F.when(F.col("l_tax") == 0, 0).otherwise(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("price_cents"),
+    )
+    grp = F.explode(F.when(key % 7 == 0, F.array(*map(F.lit, (1, 2, 3, 4)))).otherwise(F.array(*map(F.lit, (1, 2, 3))))).alias("grp")
+    groups = parts.select(key.alias("item"), "p_size", grp).select("item", "grp", (F.col("p_size") % 2 == 0).alias("required"), (F.col("p_size") * F.col("grp") % 6).alias("min_select"), ((F.col("item") + F.col("grp")) % 12).alias("max_select"))
+    return X.draft_warnings(items, variants, groups)
+
+
 @query("""WITH p AS (SELECT DISTINCT c_nationkey AS item, c_mktsegment AS grp FROM customer WHERE c_custkey % 9 = 0), t AS (SELECT count(DISTINCT item) AS n FROM p)
 SELECT grp, count(*) AS n_have, max(t.n) - count(*) AS n_lack FROM p, t GROUP BY 1 HAVING max(t.n) >= 3 AND count(*) >= 0.5 * max(t.n)""")
 def group_inconsistency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,3 +127,28 @@ def structured_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.when(key % 7 == 0, "abc").when(key % 5 == 0, F.concat(F.lit("$"), size.cast("string"), F.lit(".50"))).when(key % 3 == 0, (size * 100).cast("string")).when(key % 2 == 0, "").otherwise(size.cast("string"))
     rows = B.table(spark, sf_dir, "part").select("p_partkey", F.when(key % 11 == 0, " ").otherwise(F.col("p_name")).alias("name"), price.alias("price"), (key % 120).alias("confidence"))
     return X.validate(rows).select("p_partkey", "price_cents", F.array_join("errors", ",").alias("errors"))
+
+
+@query(_whole(export_metrics))
+def export_metrics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.metrics(*_both(spark, sf_dir, "true")).withColumn("mean", F.round("mean", 4))
+
+
+@query(_whole(publish_rows))
+def publish_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.publish_rows(*_both(spark, sf_dir, "true"))
+
+
+@query(_whole(wide_pivot))
+def wide_pivot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.wide(*_both(spark, sf_dir, "true"), [f"L{k}" for k in range(1, 8)])
+
+
+@query(_whole(pos_rows))
+def pos_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.pos_rows(*_both(spark, sf_dir, "true"))
+
+
+@query(_whole(nested_pos_json))
+def nested_pos_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.nested_json(*_both(spark, sf_dir, "true")).drop("document")

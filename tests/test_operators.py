@@ -223,6 +223,25 @@ def test_group_inconsistency_all_reads_every_customer(spark, small):
     assert rows and all(r.n_items == per[r.category] for r in rows)
 
 
+def test_draft_warnings(spark):
+    its = spark.createDataFrame([(1, "a", "c", 0), (2, " ", None, 0), (3, "b", "c", 5)], "item int, name string, category string, price_cents int")
+    vs = [(1, 1, 1, "Small", "size", 9), (1, 1, 2, "LARGE", "size", 7), (1, None, 3, "large ", "addon", 8), (1, None, 4, " ", "addon", 0), (3, 2, 1, "small", "size", 5), (3, 2, 2, "medium", "size", 5), (3, 2, 3, "odd", "size", 1)]
+    gs = [(1, 1, True, 3, 2), (1, 2, True, 0, 0), (1, 3, False, None, 4), (3, 2, True, 1, 4)]
+    got = exports.draft_warnings(its, spark.createDataFrame(vs, "item int, grp int, ordinal int, label string, kind string, price_cents int"), spark.createDataFrame(gs, "item int, grp int, required boolean, min_select int, max_select int"))
+    assert {tuple(r) for r in got.collect()} == {
+        (2, "missing_name", 1), (2, "missing_category", 1), (2, "missing_price", 1), (1, "variant_missing_price", 1), (1, "variant_missing_label", 1), (1, "duplicate_variant_label", 1), (1, "price_inversion", 1),
+        (1, "modifier_group_empty", 2), (1, "required_group_empty", 1), (1, "group_min_exceeds_max", 1), (3, "group_max_exceeds_count", 1),
+    }
+
+
+def test_whole_exports_keep_every_variant(spark, small):
+    from carteframe.plans import registry
+
+    n = spark.read.parquet(f"{small}/lineitem.parquet").select("l_partkey", "l_linenumber").distinct().count()
+    assert registry.QUERIES["export_metrics_all"](spark, small).agg(F.sum("n_variants")).first()[0] == n
+    assert registry.QUERIES["pos_rows_all"](spark, small).where("line > 0").count() == n
+
+
 def test_merge_corrections(spark):
     its = spark.createDataFrame([(1, "A", 98, 5), (2, "b", 50, 5), (3, "c", 50, 5)], "pos int, name string, confidence int, price_cents int")
     fixes = spark.createDataFrame([("a", "confirmed", None, 1), ("B", "corrected", 9, 1), ("c", "not_found", 7, 1)], "name string, status string, new_price int, order int")
