@@ -80,6 +80,12 @@ def call_success_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.success_ratio(B.table(spark, sf_dir, "events").where("user_id > 1"), ["event_type"], "value >= 5").withColumn("ratio", F.round("ratio", 6))
 
 
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value >= 5) AS n_ok, round(count(*) FILTER (WHERE value >= 5) / count(*), 6) AS ratio, count(*) FILTER (WHERE value >= 5) / count(*) >= 0.60 AS healthy FROM events GROUP BY 1")
+def call_success_ratio_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event; call_success_ratio leaves out user 1."""
+    return rates.success_ratio(B.table(spark, sf_dir, "events"), ["event_type"], "value >= 5").withColumn("ratio", F.round("ratio", 6))
+
+
 @query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS n_window FROM events")
 def sliding_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.sliding_counts(B.table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 3600).drop("ts")

@@ -242,6 +242,12 @@ def test_whole_exports_keep_every_variant(spark, small):
     assert registry.QUERIES["pos_rows_all"](spark, small).where("line > 0").count() == n
 
 
+def test_call_success_ratio_all_counts_every_event(spark, small):
+    from carteframe.plans import registry
+
+    assert registry.QUERIES["call_success_ratio_all"](spark, small).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{small}/events.parquet").count()
+
+
 def test_merge_corrections(spark):
     its = spark.createDataFrame([(1, "A", 98, 5), (2, "b", 50, 5), (3, "c", 50, 5)], "pos int, name string, confidence int, price_cents int")
     fixes = spark.createDataFrame([("a", "confirmed", None, 1), ("B", "corrected", 9, 1), ("c", "not_found", 7, 1)], "name string, status string, new_price int, order int")
