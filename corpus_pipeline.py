@@ -19,10 +19,12 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language; texts that are null or have no letter go."""
+    """Keeps documents in a learned language; texts that are null or have no letter go, and so do those whose score is 0
+    because none of their n-grams is known. A text shorter than one n-gram can't be judged and stays if it has a letter."""
     learned_from = docs.where((F.crc32(F.col("doc_id").cast("string")) % 3 != 1) & F.col("lang").isNotNull())
     judged = langid.predict(docs, langid.fit(learned_from), docs.columns, pred_col="_lang_pred", score_col="_lang_score")
-    return judged.where(F.col("_lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    known = (F.col("_lang_score") > 0) | (F.octet_length("text") < langid.GRAM)
+    return judged.where((F.col("_lang_pred") != langid.UNKNOWN) & known).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

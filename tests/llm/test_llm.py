@@ -166,6 +166,14 @@ def test_language_odd(docs, odd):
     assert {r.lang_pred for r in langid.predict(docs(["hello"]), nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_was_never_learned(spark, docs):
+    import corpus_pipeline
+
+    texts = ["the cat sat on the mat and the dog"] * 20 + ["漢字仮名交じり文の例です", "Ωμέγα και άλφα", "Re.", "123", None]
+    rows = docs(texts).withColumn("lang", F.when(F.col("doc_id") < 20, "en"))
+    assert {r.doc_id for r in corpus_pipeline.language(spark, rows, "").collect()} == {*range(20), 22}
+
+
 def test_filters_beyond_64_languages():
     languages = [f"l{i:02}" for i in range(70)]
     codes = {k: np.frombuffer(f"{k}xx".encode()[:4], np.uint32) for k in languages}
