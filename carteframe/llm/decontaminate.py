@@ -4,7 +4,9 @@ Each task builds suffix arrays over its shards of the training texts and binary-
 items in them. Nothing of the corpus is shuffled; the test items are the only thing sent out, in blocks of bounded size.
 
 Defined cases: a null or empty text, or one without words, has no hits; an item without words matches nothing; an item
-shorter than the window is one window as a whole; repeated rows are each judged alone; other columns are ignored.
+shorter than the window is one window as a whole; items without an id are searched like any other, and their matches
+have a null item_id, which op10 counts as one item and leaves out of items_sha256; repeated rows are each judged alone;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -194,11 +196,11 @@ def _joined(a: pa.ListArray, b: pa.ListArray) -> pa.Array:
 
 def _blocks(spark: SparkSession, items: DataFrame, item_col: str, item_text: str) -> Iterator[Broadcast]:
     """The test items in broadcasts of BLOCK_BYTES of text, about; one at least."""
-    tests = items.select(F.col(item_col).cast("string").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).where("id is not null")
+    tests = items.select(F.col(item_col).cast("string").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     for k in range(blocks):
-        yield spark.sparkContext.broadcast([(r[0], r[1]) for r in tests.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()])
+        yield spark.sparkContext.broadcast([(r[0], r[1]) for r in tests.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()])
 
 
 def find_matches(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

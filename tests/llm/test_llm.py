@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -399,6 +400,21 @@ def test_leaks(spark, docs, monkeypatch, blocks):
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, hit, _) in want.items() if not hit} and kept.columns == docs(["x"]).columns
 
 
+@pytest.mark.parametrize("block", [16_000_000, 20])
+def test_items_without_id_are_searched(spark, docs, monkeypatch, tmp_path, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    items = spark.createDataFrame([(None, "one two three"), (None, "four five"), (7, "six seven")], "item_id long, text string")
+    texts = docs(["a one two three b", "four five six seven", "clean words", "six seven"])
+    assert [r.doc_id for r in decontaminate.decontaminate(texts, items).collect()] == [2]
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.op10_decontaminate(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.oracles()['op10_decontaminate']})").fetchall())
+
+
 def test_longest_match(spark, docs):
     item = spark.createDataFrame([(1, " ".join(f"i{k}" for k in range(40)))], "item_id long, text string")
     text = "x " + " ".join(f"i{k}" for k in range(5, 30)) + " y " + " ".join(f"i{k}" for k in range(12))
