@@ -6,7 +6,9 @@ whole sequence and labels every block as main text or not. It is trained here, o
 page parts with known labels; no page of the corpus is used.
 
 Defined cases: null and empty pages, and pages without main blocks, give an empty text; broken and unclosed markup is
-read as far as it goes; repeated rows are each read; other columns are kept by ``extract``.
+read as far as it goes; text under an element of SILENT (formulas in math, and fall-backs in noscript, object, svg, iframe,
+audio, video, canvas and template among them) is dropped before the labeller sees it, also inside the article; repeated
+rows are each read; other columns are kept by ``extract``.
 """
 
 from __future__ import annotations
