@@ -1,7 +1,10 @@
 """Boundary cases with results worked out by hand."""
 
+import collections
 import difflib
 import json
+import math
+import re
 import zipfile
 
 import pytest
@@ -248,6 +251,32 @@ def test_call_success_ratio_all_counts_every_event(spark, small):
     assert registry.QUERIES["call_success_ratio_all"](spark, small).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{small}/events.parquet").count()
 
 
+def test_category_classifier_predicts_every_document_as_plain_bayes_does(spark, small):
+    from carteframe.plans import registry
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    split = {r.doc_id: [w for w in re.split("[^a-z]+", (r.text or "").lower()) if len(w) > 1] for r in rows}
+    every = sorted({w for ws in split.values() for w in ws})
+    size = text.Classifier.BUCKETS
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(size)).alias("b")).collect()}
+    counts, n_docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in rows:
+        if r.doc_id % 3 != 1 and r.lang is not None:
+            counts[r.lang].update(bucket[w] for w in split[r.doc_id])
+            n_docs[r.lang] += 1
+    total = {k: sum(counts[k].values()) + size for k in n_docs}
+
+    def scores(words):
+        return {k: math.log(n_docs[k] / sum(n_docs.values())) + sum(math.log((counts[k][bucket[w]] + 1) / total[k]) for w in words) for k in sorted(n_docs)}
+
+    got = registry.QUERIES["category_classifier"](spark, small).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got} == set(split)
+    for r in got:
+        own = scores(split[r.doc_id])
+        assert own[r.predicted] >= max(own.values()) - 1e-6 and r.held_out == (r.doc_id % 3 == 1 or r.lang is None)
+
+
 def test_merge_corrections(spark):
     its = spark.createDataFrame([(1, "A", 98, 5), (2, "b", 50, 5), (3, "c", 50, 5)], "pos int, name string, confidence int, price_cents int")
     fixes = spark.createDataFrame([("a", "confirmed", None, 1), ("B", "corrected", 9, 1), ("c", "not_found", 7, 1)], "name string, status string, new_price int, order int")
