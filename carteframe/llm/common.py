@@ -20,6 +20,9 @@ SLICE_BYTES = 1_000_000
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 4_000_000
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -27,10 +30,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def integer_ids(df: DataFrame, id_col: str) -> None:
+    """Refuses ids that aren't integers, which a cast to long would lose."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer, is {kind.simpleString()}")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set (tests, one machine), a new local one."""
+    """The folder that driver and executors share; only where none is set and the master is local (tests), a new local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="carteframe-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -64,14 +84,20 @@ def spread_sample(df: DataFrame, hash_col: str, rows: int) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
-    """df.mapInArrow with batches of BATCH_ROWS rows at most: whole texts can be long, and the session's default of ten
-    thousand of them doesn't bound memory. A smaller setting of the session stays."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(ARROW_ROWS)) <= BATCH_ROWS:
-        conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    """df.mapInArrow with batches of BATCH_ROWS rows and some BATCH_BYTES: whole texts can be long, and the session's
+    defaults (10,000 rows, 64 MB) cost an executor several times that. The settings stay in the session, as Spark reads
+    them when the frame is run, which is after this returns; smaller ones of the session's own stay."""
+    small_batches(df.sparkSession)
     return df.mapInArrow(_lean(run), schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    for name, most in ((ARROW_ROWS, BATCH_ROWS), (ARROW_BYTES, BATCH_BYTES)):
+        held = spark.conf.get(name, None) or "0"
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(name, str(most))
+
+
 def _lean(run: Callable) -> Callable:
     """run, giving freed memory back to the system when a task ends: idle workers stay, and executors count them."""
 

@@ -33,7 +33,6 @@ from .common import map_arrow, materialize, slices
 WINDOW = 50
 #: Rounds of pairing; a symbol then stands for 8 words on average.
 ROUNDS = 7
-_FIRST, _SECOND = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
 def symbols(hashes: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,13 +114,16 @@ class Texts:
         return K.covered(low[some], high[some], len(self.at))
 
     def keys(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes, of 64 and 32 bits, of the windows at some words."""
-        end = at + self.window
-        return K.span_hashes(self.hashes, at, end, _FIRST), (K.span_hashes(self.hashes, at, end, _SECOND) >> K.U(32)).astype(np.uint32)
+        """Two hashes, of 64 and 32 bits, of the windows at some words; the second is made from other names of the words."""
+        return K.window_hashes(self.hashes, at, self.window), (K.window_hashes(self.others(), at, self.window) >> K.U(32)).astype(np.uint32)
 
     def wholes(self) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of all words of each text."""
-        return tuple(K.span_hashes(self.hashes, self.first[:-1], self.first[1:], base) for base in (_FIRST, _SECOND))
+        return tuple(K.span_hashes(names, self.first[:-1], self.first[1:]) for names in (self.hashes, self.others()))
+
+    def others(self) -> np.ndarray:
+        """Second names of the words, which don't depend on the first."""
+        return K.word_hashes(self.data, self.starts, self.ends, lower=False, seed=2)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
