@@ -46,7 +46,7 @@ MISS = 1e-6
 #: Representatives, and shingles of their texts, of a block when members of one bucket are compared with each other.
 BLOCK, BLOCK_SHINGLES = 512, 500_000
 #: Members, and bytes of their texts, that one copy of a leader serves, about.
-SERVED, SERVED_BYTES = 4096, 4_000_000
+SERVED, SERVED_BYTES = 512, 4_000_000
 #: Links that one task may solve.
 FEW_LINKS = 500_000
 
