@@ -230,3 +230,21 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
                 begin = end
 
     return map_arrow(tokens.select(*(F.col(f"`{n}`") for n in names)), run, schema)
+
+
+def round_trip(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """decode(encode(docs)) in one pass over the rows, so that a task has one Python worker with one vocabulary."""
+    kept = [f for f in docs.schema.fields if f.name not in (ids_col, decoded_col)]
+    schema = T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded_col, T.StringType(), False)])
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = vocabulary(path)
+        for batch in slices(batches, text_col):
+            got = [coder.encode(t) if t else b"" for t in batch.column(names.index(text_col)).to_pylist()]
+            ends, ids = np.cumsum([0, *map(len, got)]) // 4, np.frombuffer(b"".join(got), np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, coder.decode(ids, ends)], schema.names)
+        coder.forget()
+
+    return map_arrow(docs.select(*(F.col(f"`{n}`") for n in names)), run, schema)
