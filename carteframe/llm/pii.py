@@ -7,12 +7,17 @@ other is a counterexample. The marks by which base patterns know their kind (a p
 features, so that other spellings of the same thing score alike. Trees become CASE expressions; training sees a sample
 of bounded size; no Python runs on executors.
 
+Every step over the spans of one text is linear or n log n, so that a text may hold any number: places are sums of gaps,
+taken in chunks; overlaps are found by binary search among the sorted, disjoint spans of each kind.
+
 Defined cases: null and empty texts have no spans; positions are code points, ends exclusive; repeated rows are each
-judged; without examples or counterexamples of a kind nothing is added to it; other columns are kept by ``redact``.
+judged; without examples or counterexamples of a kind nothing is added to it; an empty table stays empty; other columns
+are kept by ``redact`` and ``spans``, which replaces a column that is named like its result.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 
@@ -20,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_sample
+from .common import fresh, materialize, spread_sample
 
 #: Kinds in the order of their spans.
 KINDS = ("email", "ip", "card", "phone")
@@ -46,7 +51,11 @@ WIDE = {
     "card": (r"(?<![0-9])[0-9](?:[ .-]{0,2}+[0-9]){10,}+", r"[0-9](?:[ .-]{0,2}[0-9]){10}"),
     "phone": (r"(?<![0-9])(?:\([0-9]++\) ?+)?+[0-9](?:[ ().-]{0,2}+[0-9]){6,}+", r"[0-9][0-9 ().-]{5,}[0-9]"),
 }
-FEATURES = ("chars", "digits", "groups", "longest", "brackets", "hyphens", "dots", "letters", "luhn", "high_parts", "glued_before", "glued_after", "last_letters")
+FEATURES = ("chars", "digits", "groups", "longest", "brackets", "hyphens", "dots", "letters", "luhn", "high_parts", "glued_before", "glued_after", "last_letters", "contact_cue", "record_cue")
+#: Characters before a proposal in which cues are looked for; fixed values: words near contact data, and near other numbers.
+NEAR = 30
+CONTACT = r"(?i)\b(?:tel|phone|call|ring|fax|mobile|cell|contact|mail|e-?mail|card|visa|mastercard|host|server|address|reach|whatsapp|sms)\b"
+RECORD = r"(?i)\b(?:order|invoice|ref|reference|no|nr|number|id|isbn|sku|version|build|page|item|code|total|ticket|case|date|serial)\b"
 
 
 def _digits(hit: Column) -> Column:
@@ -81,23 +90,71 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-SPAN = "array<struct<start:bigint,end:bigint,hit:string>>"
+SPAN = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def found(text: Column, pattern: str, hint: str) -> Column:
-    """Leftmost non-overlapping matches with their places; an array of structs, empty for null."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).cast("long").alias("gap"), h.alias("hit")))
+    """Leftmost non-overlapping matches with their places and what stands around; an array of SPAN, empty for null.
+
+    Places are running sums of gaps and hits: within chunks of about sqrt(n) matches, then over the chunks."""
+
+    def inside(acc: Column, i: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gaps"][i])
+        end = start + F.length(x["hits"][i])
+        span = F.struct(start.alias("start"), end.alias("end"), i.alias("i"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    def chunk(x: Column, size: Column, k: Column) -> Column:
+        places = F.sequence(k * size, F.least((k + 1) * size, F.size(x["hits"])) - 1)
+        nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,i:int>>").alias("out"))
+        return F.aggregate(places, nothing, lambda acc, i: inside(acc, i, x))
+
+    def onward(acc: Column, c: Column) -> Column:
+        return F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("base"), c["out"].alias("part")))).alias("out"))
+
+    def placed(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x["hits"]).cast("double"))).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x["hits"]) / size).cast("int") - 1), lambda k: chunk(x, size, k))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<base:bigint,part:array<struct<start:bigint,end:bigint,i:int>>>>").alias("out"))
+        based = F.aggregate(chunks, start, onward)["out"]
+
+        def span(base: Column, s: Column) -> Column:
+            before, i = x["gaps"][s["i"]], s["i"]
+            glued = F.when((F.length(before) == 0) & (i > 0), F.right(x["hits"][F.greatest(i - 1, F.lit(0))], F.lit(1))).otherwise(F.right(before, F.lit(NEAR)))
+            after = x["gaps"][i + 1]
+            # the next match may follow at once
+            after = F.when((F.length(after) == 0) & (i + 1 < F.size(x["hits"])), F.left(x["hits"][F.least(i + 1, F.size(x["hits"]) - 1)], F.lit(1))).otherwise(F.left(after, F.lit(1)))
+            return F.struct((base + s["start"]).alias("start"), (base + s["end"]).alias("end"), x["hits"][i].alias("hit"), glued.alias("before"), after.alias("after"))
+
+        every = F.flatten(F.transform(based, lambda c: F.transform(c["part"], lambda s: span(c["base"], s))))
+        return F.when(F.size(x["hits"]) > 0, every).otherwise(F.array().cast(SPAN))
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(text.rlike(hint), _let(parts, placed)).otherwise(F.array().cast(SPAN))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
 
-    none = F.array().cast(SPAN)
-    spans = F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), add)["out"]
-    return F.when(text.rlike(hint), spans).otherwise(none)
+def _last(array: Column, test) -> Column:
+    """How many spans of array stand before the first that test refuses; test holds for a first part of array only."""
+    start = F.struct(F.lit(0).alias("low"), F.size(array).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        at = F.least(middle, F.size(array) - 1)
+        right, open_ = test(array[at]), acc["low"] < acc["high"]
+        return F.struct(F.when(open_ & right, middle + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~right, middle).otherwise(acc["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(array) + F.lit(1))).cast("int"))
+    return F.when(F.size(array) > 0, F.aggregate(steps, start, halve)["low"]).otherwise(0)
+
+
+def _overlapped(array: Column, p: Column) -> Column:
+    """Whether a span of the sorted, disjoint array overlaps p."""
+    return _let(_last(array, lambda s: s["start"] < p["end"]), lambda n: F.when(n > 0, array[F.greatest(n - 1, F.lit(0))]["end"] > p["start"]).otherwise(False))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -105,24 +162,25 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: of(k) for k in KINDS}
 
 
-def _features(text: Column, span: Column) -> dict[str, Column]:
+def _features(span: Column) -> dict[str, Column]:
     hit = span["hit"]
     count = lambda what: (F.length(hit) - F.length(F.regexp_replace(hit, what, ""))).cast("double")
     runs = F.regexp_extract_all(hit, F.lit("([0-9]+)"), F.lit(1))
     digits = _digits(hit)
-    before, after = F.substring(text, span["start"].cast("int"), F.lit(1)), F.substring(text, span["end"].cast("int") + 1, F.lit(1))
+    before, after = F.right(span["before"], F.lit(1)), span["after"]
     glued = lambda c: c.rlike("[A-Za-z0-9]").cast("double")
     return {
         "chars": F.length(hit).cast("double"), "digits": F.length(digits).cast("double"), "groups": F.size(runs).cast("double"),
         "longest": F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)).cast("double"), "brackets": count("[()\\[\\]]"), "hyphens": count("-"), "dots": count("\\."), "letters": count("[A-Za-z]"),
         "luhn": F.when(F.length(digits).between(13, 19), _luhn(digits)).otherwise(False).cast("double"), "high_parts": (~_small_parts(hit)).cast("double"),
         "glued_before": F.when(span["start"] > 0, glued(before)).otherwise(0.0), "glued_after": glued(after), "last_letters": F.length(F.regexp_extract(hit, "([A-Za-z]*)$", 1)).cast("double"),
+        "contact_cue": span["before"].rlike(CONTACT).cast("double"), "record_cue": span["before"].rlike(RECORD).cast("double"),
     }
 
 
 def proposals(text: Column, kind: str) -> Column:
     pattern, hint = WIDE[kind]
-    return F.transform(found(text, pattern, hint), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), *(v.alias(k) for k, v in _features(text, s).items())))
+    return F.transform(found(text, pattern, hint), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), *(v.alias(k) for k, v in _features(s).items())))
 
 
 @dataclass
@@ -186,14 +244,23 @@ def boosted(x: np.ndarray, y: np.ndarray) -> Trees | None:
     return Trees(start, trees, max(0.5, float(p[order[np.flatnonzero(good)[-1]]])))
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> dict[str, Trees]:
-    """Trees of each kind from the proposals of a bounded sample of SAMPLE_TEXTS texts, SAMPLE_ROWS at most."""
+def fit(docs: DataFrame, text_col: str = "text", sample_texts: int = SAMPLE_TEXTS, sample_rows: int = SAMPLE_ROWS) -> dict[str, Trees]:
+    """Trees of each kind from the proposals of a bounded sample of sample_texts texts, sample_rows at most."""
     texts = docs.where(F.col(text_col).rlike(r"[0-9@]|\(at\)|\[at\]")).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    texts = spread_sample(texts, "h", SAMPLE_TEXTS)
+    # the sample is small but its texts are dear: dealt to all cores, and read for proposals once
+    texts = spread_sample(texts, "h", sample_texts).repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism), "h")
     base = texts.select("text", "h", *(v.alias(f"_{k}") for k, v in base_spans(F.col("text")).items()))
-    holds = lambda kind: F.transform(proposals(F.col("text"), kind), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("p"), F.exists(F.col(f"_{kind}"), lambda b: (b["start"] >= p["start"] - 2) & (b["end"] <= p["end"]) & (2 * (b["end"] - b["start"]) > p["end"] - p["start"])).alias("y")))
+
+    def example(b: Column, p: Column) -> Column:
+        """Whether a base span lies in p and is more than half of it; such a one is the last or last but one to begin before p's middle."""
+        fits = lambda s: (s["start"] >= p["start"] - 2) & (s["end"] <= p["end"]) & (2 * (s["end"] - s["start"]) > p["end"] - p["start"])
+        one = lambda k: F.when(k >= 0, fits(b[F.greatest(k, F.lit(0))])).otherwise(False)
+        return _let(_last(b, lambda s: 2 * s["start"] <= p["start"] + p["end"]), lambda n: one(n - 1) | one(n - 2))
+
+    holds = lambda kind: F.transform(proposals(F.col("text"), kind), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("p"), example(F.col(f"_{kind}"), p).alias("y")))
     rows = base.select(F.explode(F.concat(*(holds(k) for k in KINDS))).alias("c"), "h").select("c.kind", "c.y", "c.p", "h", F.xxhash64("h", "c.p.start", "c.kind").alias("order"))
-    sample = spread_sample(rows, "order", SAMPLE_ROWS).select("order", "kind", F.col("y").cast("int").alias("y"), *(F.col(f"p.{f}").alias(f) for f in FEATURES)).collect()
+    rows = materialize(rows, "proposals")
+    sample = spread_sample(rows, "order", sample_rows).select("order", "kind", F.col("y").cast("int").alias("y"), *(F.col(f"p.{f}").alias(f) for f in FEATURES)).collect()
     sample.sort(key=lambda r: r["order"])
     out = {}
     for kind in KINDS:
@@ -204,20 +271,27 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[str, Trees]:
 
 
 def spans(docs: DataFrame, models: dict[str, Trees] | None = None, text_col: str = "text", out_col: str = "pii") -> DataFrame:
-    """docs with out_col: struct of base and added, arrays of (kind, start, end) by kind and start."""
+    """docs with out_col: struct of base and added, arrays of (kind, start, end) by kind and start.
+
+    What is added overlaps no base span and nothing added of a kind before its own."""
     models = fit(docs, text_col) if models is None else models
-    text, none = F.coalesce(F.col(text_col), F.lit("")), F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    tagged = lambda kind, array: F.transform(array, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    fresh = lambda name: next(n for n in (name + "_" * i for i in range(1, 99)) if n not in docs.columns)
-    base_col, wide_col = fresh("_base"), fresh("_wide")
-    staged = docs.withColumn(base_col, F.concat(*(tagged(k, v) for k, v in base_spans(text).items())))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != out_col]
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    place = lambda array: F.transform(array, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    names = {k: fresh(docs, f"_base_{k}") for k in KINDS}
+    added = {k: fresh(docs, f"_added_{k}") for k in models}
+    staged = docs.select(*kept, *(place(v).alias(names[k]) for k, v in base_spans(text).items()))
     chosen = lambda kind, trees: F.filter(proposals(text, kind), lambda p: trees.score(lambda f: p[f]) >= trees.threshold)
-    wide = [tagged(k, chosen(k, m)) for k, m in models.items()]
-    staged = staged.withColumn(wide_col, F.concat(*wide) if wide else none)
-    clear = F.filter(wide_col, lambda p: ~F.exists(base_col, lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])))
-    # of overlapping additions, the first kind's stays
-    step = lambda acc, p: F.when(F.exists(acc, lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])), acc).otherwise(F.concat(acc, F.array(p)))
-    return staged.withColumn(out_col, F.struct(F.col(base_col).alias("base"), F.aggregate(clear, none, step).alias("added"))).drop(base_col, wide_col)
+    staged = staged.select("*", *(place(chosen(k, m)).alias(added[k]) for k, m in models.items()))
+    before = [F.col(n) for n in names.values()]
+    for kind in models:
+        clear = F.filter(F.col(added[kind]), lambda p: ~functools.reduce(lambda a, b: a | b, (_overlapped(array, p) for array in before)))  # noqa: B023
+        staged = staged.withColumn(added[kind], clear)
+        before.append(F.col(added[kind]))
+    tagged = lambda kind, array: F.transform(array, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
+    both = F.struct(F.concat(*(tagged(k, F.col(names[k])) for k in KINDS)).alias("base"), F.concat(none, *(tagged(k, F.col(n)) for k, n in added.items())).alias("added"))
+    return staged.withColumn(out_col, both).drop(*names.values(), *added.values())
 
 
 def ordered(array: Column) -> Column:
@@ -231,19 +305,44 @@ def digest(array: Column) -> Column:
     return F.array_join(F.transform(array, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Characters of a stretch of text that is cut at once.
+STRETCH = 1000
+
+
 def redact(docs: DataFrame, models: dict[str, Trees] | None = None, text_col: str = "text") -> DataFrame:
-    """docs with every span of text_col replaced by [KIND]; null stays null."""
-    name = next(n for n in ("_pii" + "_" * i for i in range(99)) if n not in docs.columns)
+    """docs with every span of text_col replaced by [KIND]; null stays null. Of spans that overlap, the first is named."""
+    name = fresh(docs, "_pii")
     marked = spans(docs, models, text_col, name)
-    every = F.array_sort(F.transform(F.concat(F.col(name)["base"], F.col(name)["added"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    text = F.col(text_col)
-
-    def cut(acc: Column, s: Column) -> Column:
-        begin = F.greatest(acc["at"], s["start"])
-        kept = F.when(begin > acc["at"], F.substring(text, (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int"))).otherwise("")
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(kept, mark)).alias("out"))
-
-    done = F.aggregate(every, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), cut)
-    whole = F.concat(F.array_join(done["out"], ""), F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
-    return marked.withColumn(text_col, F.when(F.size(every) > 0, whole).otherwise(text)).drop(name)
+    # each kind's spans, base and added, are disjoint: the last to begin has the furthest end
+    of = {k: fresh(marked, f"_of_{k}") for k in KINDS}
+    place = lambda kind: F.array_sort(F.transform(F.filter(F.concat(F.col(name)["base"], F.col(name)["added"]), lambda s: s["kind"] == kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    marked = marked.select("*", *(place(k).alias(c) for k, c in of.items()))
+    rank = {k: i for i, k in enumerate(KINDS)}
+    every = F.array_sort(F.concat(*(F.transform(F.col(c), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rank[k]).alias("rank"))) for k, c in of.items())))
+
+    def reach(s: Column) -> Column:
+        """The furthest end of spans that sort before s."""
+        ends = []
+        for k, c in of.items():
+            array = F.col(c)
+            less = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(rank[k]).alias("rank")) < s  # noqa: E731, B023
+            ends.append(_let(_last(array, less), lambda n: F.when(n > 0, array[F.greatest(n - 1, F.lit(0))]["end"]).otherwise(F.lit(0).cast("long"))))  # noqa: B023
+        return F.greatest(*ends)
+
+    heads = fresh(marked, "_heads")
+    marked = marked.withColumn(heads, F.filter(F.transform(every, lambda s: F.struct(reach(s).alias("at"), s["start"].alias("start"), s["rank"].alias("rank"))), lambda h: h["start"] >= h["at"]))
+    text, size = F.col(f"`{text_col}`"), F.lit(STRETCH).cast("long")
+
+    def piece(stretches: Column, begin: Column, end: Column) -> Column:
+        def cut(k: Column) -> Column:
+            low = F.greatest(begin - k * size, F.lit(0).cast("long"))
+            return F.substring(stretches[k.cast("int")], (low + 1).cast("int"), (F.least(end - k * size, size) - low).cast("int"))
+
+        whole = F.array_join(F.transform(F.sequence(F.floor(begin / size), F.floor((end - 1) / size)), cut), "")
+        return F.when(begin < end, whole).otherwise("")
+
+    mark = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    furthest = F.greatest(*(F.coalesce(F.element_at(F.when(F.size(c) > 0, F.col(c)), -1)["end"], F.lit(0).cast("long")) for c in of.values()))
+    cut = lambda x: F.concat(F.array_join(F.transform(F.col(heads), lambda h: F.concat(piece(x, h["at"], h["start"]), mark[h["rank"]])), ""), piece(x, furthest, F.length(text).cast("long")))
+    whole = _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)), cut)
+    return marked.withColumn(text_col, F.when(F.size(heads) > 0, whole).otherwise(text)).select(*(F.col(f"`{c}`") for c in docs.columns))
