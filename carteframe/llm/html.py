@@ -5,10 +5,13 @@ hashed names on its tag path and of its hashed words, and a few shape numbers. A
 whole sequence and labels every block as main text or not. It is trained here, on pages drawn from a seeded grammar of
 page parts with known labels; no page of the corpus is used.
 
+Reading takes time and memory in proportion to the page, whatever its nesting: a block holds the set of names on its path,
+which children share with their parent where they add nothing, and closing tags are looked up, not searched for.
+
 Defined cases: null and empty pages, and pages without main blocks, give an empty text; broken and unclosed markup is
-read as far as it goes; text under an element of SILENT (formulas in math, and fall-backs in noscript, object, svg, iframe,
-audio, video, canvas and template among them) is dropped before the labeller sees it, also inside the article; repeated
-rows are each read; other columns are kept by ``extract``.
+read as far as it goes; only scripts, styles, templates and form controls (SILENT) are dropped unseen, everything else
+is the labeller's to judge, formulas and fall-backs of embedded media among it; repeated rows are each read; an empty
+table stays empty; other columns are kept by ``extract``.
 """
 
 from __future__ import annotations
@@ -29,26 +32,51 @@ from . import kernels as K
 from .common import map_arrow, slices
 
 #: Elements that don't end a block, that have no content, and whose content is never text.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins del kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big br canvas cite code data dfn em font i iframe img ins del kbd label mark noscript object picture q rp rt ruby s samp small span strike strong sub sup time tt u var video wbr"
+    " math semantics annotation mi mn mo ms mspace mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mmultiscripts mpadded mphantom mfenced menclose".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template textarea select svg math iframe object canvas audio video datalist".split())
+SILENT = frozenset("script style template textarea select datalist".split())
 #: An opening one of these ends an open p; of the others, an open one of the same kind.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S | re.I)
+HOLDERS = ("ul", "ol", "dl", "table", "select")
+#: Inside a tag any character but its end will do, and quotes bind only after =, so that no match is ever tried again.
+_INSIDE = r"(?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|template|textarea)\b{_INSIDE}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_INSIDE})(?:>|\Z)|[^<]+|<", re.S | re.I)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 BUCKETS, EMBEDDING, HIDDEN, SHAPES = 512, 12, 12, 5
+#: Steps whose inputs are computed at once; steps of all pages that run together, padding counted.
+STRETCH, CELLS = 4096, 50_000
+
+
+@functools.lru_cache(100_000)
+def _bucket(name: str) -> int:
+    return zlib.crc32(name.encode()) % BUCKETS
+
+
+def path(names: list[str], above: frozenset = frozenset()) -> frozenset:
+    """The buckets of names and of those above; above itself if nothing is new."""
+    more = {_bucket(n) for n in names}
+    return above if more <= above else above | more
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(text, tag path, characters inside links) of all blocks with text, in page order."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []
+Block = tuple[str, frozenset, int]
+
+
+def blocks(page: str) -> list[Block]:
+    """(text, buckets of the names on the tag path, characters inside links) of all blocks with text, in page order."""
+    out: list[Block] = []
+    tags: list[str] = []
+    paths: list[frozenset] = [frozenset()]
+    places: dict[str, list[int]] = {}  # where each tag is open
+    outer: list[int] = []  # where elements that end blocks are open
     parts: list[str] = []
-    linked, silent, path_of = 0, 0, ""
+    linked, silent, here = 0, 0, frozenset()
 
     def close() -> None:
         nonlocal linked
@@ -56,15 +84,22 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             text = "".join(parts)
             text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip()
             if text:
-                out.append((text, path_of, linked))
+                out.append((text, here, linked))
             parts.clear()
         linked = 0
 
+    def last(tag: str) -> int:
+        return at[-1] if (at := places.get(tag)) else -1
+
     def pop(to: int) -> None:
         nonlocal silent
-        for tag, _ in stack[to:]:
+        while len(tags) > to:
+            tag = tags.pop()
+            paths.pop()
+            places[tag].pop()
             silent -= tag in SILENT
-        del stack[to:]
+        while outer and outer[-1] >= to:
+            outer.pop()
 
     for m in _TOKEN.finditer(page):
         raw, tag = m[0], m[3]
@@ -72,9 +107,9 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             if raw[0] != "<" or raw == "<":
                 if not silent:
                     if not parts:
-                        path_of = " ".join(p for _, p in stack)
+                        here = paths[-1]
                     parts.append(raw)
-                    linked += len(raw) if any(t == "a" for t, _ in stack) else 0
+                    linked += len(raw) if places.get("a") else 0
             continue
         tag = tag.lower()
         if tag not in INLINE:
@@ -82,43 +117,35 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         elif tag == "br":
             parts.append(" ")
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+            if (k := last(tag)) >= 0:
+                pop(k)
             continue
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    pop(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if (same := ENDS_SELF.get(tag)) is not None:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in same:
-                    pop(k)
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
-                    break
+        if tag in ENDS_P and outer and tags[outer[-1]] == "p":
+            pop(outer[-1])
+        if (same := ENDS_SELF.get(tag)) is not None and (k := max(map(last, same))) > max(map(last, HOLDERS)):
+            pop(k)
         if tag in VOID or m[4].endswith("/"):
             continue
-        names = [f"{tag}"]
+        names = [tag]
         if m[4]:
             for value in _NAMES.findall(m[4]):
                 names += [f".{w}" for w in _PARTS.findall(value.lower())]
         silent += tag in SILENT
-        stack.append((tag, " ".join(names)))
+        places.setdefault(tag, []).append(len(tags))
+        if tag not in INLINE:
+            outer.append(len(tags))
+        tags.append(tag)
+        paths.append(path(names, paths[-1]))
     close()
     return out
 
 
-@functools.lru_cache(100_000)
-def _path_buckets(path: str) -> tuple[int, ...]:
-    return tuple(sorted({zlib.crc32(p.encode()) % BUCKETS for p in path.split()}))
+@functools.lru_cache(10_000)
+def _sorted(buckets: frozenset) -> tuple[int, ...]:
+    return tuple(sorted(buckets))
 
 
-def inputs(found: list[tuple[str, str, int]]) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray, np.ndarray]:
+def inputs(found: list[Block]) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray, np.ndarray]:
     """Path buckets; word buckets with the index of each block's first; shape numbers."""
     texts = pa.array([t for t, _, _ in found], pa.large_string())
     data, offsets = K.buffers(texts)
@@ -127,7 +154,7 @@ def inputs(found: list[tuple[str, str, int]]) -> tuple[list[tuple[int, ...]], np
     n = np.array([len(t) for t, _, _ in found], float)
     links = np.array([min(1.0, k / max(1, len(t))) for t, _, k in found])
     shapes = np.column_stack([np.log1p(n) / 5, np.log1p(np.diff(first)) / 4, links, n > 120, np.array([t[-1] in ".!?:\"'" for t, _, _ in found], float)])
-    return [_path_buckets(p) for _, p, _ in found], words, first, shapes
+    return [_sorted(p) for _, p, _ in found], words, first, shapes
 
 
 class Labeller:
@@ -140,7 +167,7 @@ class Labeller:
         for side in ("f", "b"):
             self.p |= {f"x{side}": rng.normal(0, d**-0.5, (d, 4 * HIDDEN)), f"h{side}": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 4 * HIDDEN)), f"c{side}": np.repeat([0.0, 1.0, 0.0, 0.0], HIDDEN)}
 
-    def vectors(self, found: list[tuple[str, str, int]]) -> tuple[np.ndarray, tuple]:
+    def vectors(self, found: list[Block]) -> tuple[np.ndarray, tuple]:
         paths, words, first, shapes = inputs(found)
         size = np.array([len(p) for p in paths])
         flat = np.array([b for p in paths for b in p], np.int64)
@@ -152,13 +179,15 @@ class Labeller:
         word = (running[first[1:]] - running[first[:-1]]) / count[:, None]
         return np.column_stack([path, word, shapes]), (flat, owner, words, K.owner(first), count)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, side: str) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, mask: np.ndarray, side: str, taped: bool = True) -> tuple[np.ndarray, list]:
         """x: pages by steps by inputs. Hidden states of all steps; steps outside a page keep the state at zero."""
         n, steps, _ = x.shape
-        ahead = x @ self.p[f"x{side}"] + self.p[f"c{side}"]
-        h, c, out, tape = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), np.zeros((n, steps, HIDDEN)), []
+        h, c, out, tape, held = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), np.zeros((n, steps, HIDDEN)), [], -1
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
-            z = ahead[:, t] + h @ self.p[f"h{side}"]
+            if t // STRETCH != held:  # inputs of a stretch of steps at a time
+                held = t // STRETCH
+                ahead = x[:, held * STRETCH : (held + 1) * STRETCH] @ self.p[f"x{side}"] + self.p[f"c{side}"]
+            z = ahead[:, t - held * STRETCH] + h @ self.p[f"h{side}"]
             gates = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
             i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
             g, m = np.tanh(z[:, 3 * HIDDEN :]), mask[:, t, None]
@@ -166,7 +195,8 @@ class Labeller:
             last, bent = h, np.tanh(c)
             h = o * bent * m
             out[:, t] = h
-            tape.append((t, i, f, o, g, before, last, bent, m))
+            if taped:
+                tape.append((t, i, f, o, g, before, last, bent, m))
         return out, tape
 
     def _back(self, x: np.ndarray, grad: np.ndarray, tape: list, side: str, total: dict) -> np.ndarray:
@@ -191,7 +221,7 @@ class Labeller:
         out[mask] = x
         return out, mask
 
-    def scores(self, pages: list[list[tuple[str, str, int]]]) -> np.ndarray:
+    def scores(self, pages: list[list[Block]]) -> np.ndarray:
         """Probability of main text for all blocks of all pages, in one row. Pages of like length run together."""
         sizes = np.array([len(p) for p in pages])
         out = np.zeros(sizes.sum())
@@ -201,15 +231,19 @@ class Labeller:
         first = np.concatenate(([0], np.cumsum(sizes)))
         order = np.argsort(sizes, kind="stable")
         order = order[sizes[order] > 0]
-        for begin in range(0, len(order), 128):
-            some = order[begin : begin + 128]
+        begin = 0
+        while begin < len(order):  # as many as come to CELLS steps with their padding, one at least
+            end = begin + 1
+            while end < len(order) and end - begin < 128 and (end + 1 - begin) * sizes[order[end]] <= CELLS:
+                end += 1
+            some, begin = order[begin:end], end
             rows = np.concatenate([np.arange(first[k], first[k + 1]) for k in some])
             padded, mask = self._padded(x[rows], sizes[some])
-            states = [self._run(padded, mask, side)[0][mask] for side in ("f", "b")]
+            states = [self._run(padded, mask, side, taped=False)[0][mask] for side in ("f", "b")]
             out[rows] = 1 / (1 + np.exp(-(np.column_stack([*states, x[rows]]) @ self.p["out"] + self.p["bias"])[:, 0]))
         return out
 
-    def train(self, pages: list[tuple[list[tuple[str, str, int]], list[int]]], epochs: int, rate: float = 0.01, batch: int = 32, seed: int = 11, decay: float = 0.02) -> None:
+    def train(self, pages: list[tuple[list[Block], list[int]]], epochs: int, rate: float = 0.01, batch: int = 32, seed: int = 11, decay: float = 0.02) -> None:
         """Adam on the mean cross-entropy of all blocks, its rate falling to a tenth."""
         rng = np.random.default_rng(seed)
         mean, square, step = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2)), None, 0
@@ -334,7 +368,7 @@ class PageGrammar:
         kind = self.rng.random()
         return f"<article>{inner}</article>" if kind < 0.45 else f"<main>{inner}</main>" if kind < 0.55 else self.wrap(["div", "section", "article", "main"], self.MAIN, inner, 0.85)
 
-    def page(self) -> tuple[list[tuple[str, str, int]], list[int]]:
+    def page(self) -> tuple[list[Block], list[int]]:
         around = lambda p: "".join(self.off(self.boilerplate()) for _ in range(int(self.rng.integers(0, 4)))) if self.chance(p) else ""
         head = self.off(f"<head><title>{self.prose(2, 12)}</title></head>")
         foot = self.off(f"<footer>{self.one(['&copy; ', 'Copyright ', ''])}{self.prose(1, 20)}</footer>") if self.chance(0.7) else ""

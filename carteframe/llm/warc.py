@@ -1,10 +1,10 @@
 """WARC archives: writing captures with revisit records, reading records, assembling transactions.
 
 Spark's text writer makes the archives (each row is the records of one capture, the row end is the record end), so that
-lost tasks leave nothing behind and any store that Spark can write will do; a file is one gzip stream. Reading streams
-through each file and cuts records by Content-Length.
+lost tasks leave nothing behind and any store that Spark can write will do; a file is one gzip stream of some FILE_BYTES.
+Reading streams through each file, cuts records by Content-Length, and computes a response's digest from its payload.
 
-Defined cases: a null or empty payload is a payload of 0 bytes; a null url leaves its header out; line breaks in a url
+Defined cases: ids are integers, others are refused; a null or empty payload is a payload of 0 bytes; a null url leaves its header out; line breaks in a url
 are percent-encoded; repeated rows are captures of their own; an empty table gives no archive and no capture.
 """
 
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import integer_ids, map_arrow, materialize
 
-#: Captures of one file, at most.
-FILE_CAPTURES = 20_000
+#: Captures of one file, at most; bytes of payload in one file, about.
+FILE_CAPTURES, FILE_BYTES = 20_000, 64_000_000
 #: Payloads of at least so many bytes are recorded once; later ones revisit the first.
 LEAST_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -38,36 +38,42 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _record(kind: str, record_id: Column, headers: list[tuple[str, Column]], block: Column) -> Column:
-    head = [F.lit(f"WARC/1.1{CRLF}WARC-Type: "), kind if isinstance(kind, Column) else F.lit(kind), F.lit(f"{CRLF}WARC-Date: {DATE}{CRLF}WARC-Record-ID: <"), record_id, F.lit(f">{CRLF}")]
+def _record(kind: str | Column, date: str, record_id: Column, headers: list[tuple[str, Column]], block: Column) -> Column:
+    head = [F.lit(f"WARC/1.1{CRLF}WARC-Type: "), kind if isinstance(kind, Column) else F.lit(kind), F.lit(f"{CRLF}WARC-Date: {date}{CRLF}WARC-Record-ID: <"), record_id, F.lit(f">{CRLF}")]
     for name, value in headers:
         head.append(F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit("")))
     return F.concat(*head, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Three records a capture: request, response or revisit, metadata; the first two are bound by WARC-Concurrent-To."""
+def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> None:
+    """Three records a capture: request, response or revisit, metadata; request and metadata name the second in
+    WARC-Concurrent-To, a revisit names its response's target and date. date: of the capture, as in ISO 8601."""
+    integer_ids(pages, id_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    seen = materialize(rows.select("page", base32_sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("bytes")), "payloads")
-    first = seen.where((F.col("bytes") >= least_bytes) & F.col("page").isNotNull()).groupBy("digest", "bytes").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = materialize(first.select(F.col("digest").alias("_digest"), F.col("bytes").alias("_bytes"), "first"), "payloads-first")
+    rows = rows.withColumn("url", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"))
+    seen = materialize(rows.select("page", "url", base32_sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("bytes")), "payloads")
+    total = seen.agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).first()
+    captures = max(1, min(FILE_CAPTURES, int(FILE_BYTES * total["n"] / max(1, total["b"] or 0))))
+    first = seen.where((F.col("bytes") >= least_bytes) & F.col("page").isNotNull()).groupBy("digest", "bytes").agg(F.min("page").alias("first"), F.min_by("url", "page").alias("first_url"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first.select(F.col("digest").alias("_digest"), F.col("bytes").alias("_bytes"), "first", "first_url"), "payloads-first")
     revisits = seen.join(first, (F.col("digest") == F.col("_digest")) & (F.col("bytes") == F.col("_bytes"))).where("page != first")
-    revisits = materialize(revisits.select(F.col("page").alias("_page"), F.col("digest").alias("_digest"), "first").distinct(), "revisits")
+    revisits = materialize(revisits.select(F.col("page").alias("_page"), F.col("digest").alias("_digest"), "first", "first_url").distinct(), "revisits")
     rows = rows.withColumn("digest", base32_sha1("html")).join(revisits, (F.col("page") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
-    url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
-    again, one = F.col("first").isNotNull(), F.md5(F.concat_ws("|", F.col("page").cast("string"), "digest", F.monotonically_increasing_id().cast("string")))
-    rows = rows.withColumn("url", url).withColumn("one", one)
+    again = F.col("first").isNotNull()
+    one = F.md5(F.concat_ws("|", F.col("page").cast("string"), "digest", F.monotonically_increasing_id().cast("string")))
+    rows = rows.withColumn("one", one)
     name = lambda kind: F.concat(F.lit(f"urn:capture:{kind}:"), F.col("one"))
     target, with_ = ("WARC-Target-URI", F.col("url")), ("WARC-Concurrent-To", F.concat(F.lit("<"), name("response"), F.lit(">")))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.octet_length("html").cast("string"), F.lit(CRLF + CRLF))
     fields = F.concat(F.lit("payload-bytes: "), F.octet_length("html").cast("string"), F.lit(CRLF), *(F.coalesce(F.concat(F.lit(f"{n}: "), F.col(c).cast("string"), F.lit(CRLF)), F.lit("")) for n, c in (("page-id", "page"), ("refers-to-page", "first"))))
-    request = _record("request", name("request"), [target, with_, ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(f" HTTP/1.1{CRLF + CRLF}")))
+    request = _record("request", date, name("request"), [target, with_, ("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(f" HTTP/1.1{CRLF + CRLF}")))
     profile = F.when(again, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
-    response = _record(F.when(again, "revisit").otherwise("response"), name("response"), [target, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("WARC-Profile", profile), ("Content-Type", F.lit("application/http; msgtype=response"))], F.when(again, http).otherwise(F.concat(http, "html")))
-    metadata = _record("metadata", name("metadata"), [target, with_, ("Content-Type", F.lit("application/warc-fields"))], fields)
+    origin = [("WARC-Refers-To-Target-URI", F.when(again, F.col("first_url"))), ("WARC-Refers-To-Date", F.when(again, F.lit(date)))]
+    response = _record(F.when(again, "revisit").otherwise("response"), date, name("response"), [target, ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), ("WARC-Profile", profile), *origin, ("Content-Type", F.lit("application/http; msgtype=response"))], F.when(again, http).otherwise(F.concat(http, "html")))
+    metadata = _record("metadata", date, name("metadata"), [target, with_, ("Content-Type", F.lit("application/warc-fields"))], fields)
     end = F.lit(CRLF + CRLF)
     out = rows.select(F.concat(request, end, response, end, metadata).alias("value"))
-    out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", FILE_CAPTURES).text(path)
+    out.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", captures).text(path)
 
 
 class _Stream:
@@ -127,9 +133,10 @@ def parse_records(data: memoryview, payloads: bool) -> Iterator[dict]:
         stream.take(4)
         kind, plain = headers.get("warc-type", ""), lambda v: v.strip("<>") if v else None
         out = {"record_id": plain(headers.get("warc-record-id")), "type": kind, "concurrent_to": plain(headers.get("warc-concurrent-to")), "uri": headers.get("warc-target-uri"), "digest": headers.get("warc-payload-digest", "").removeprefix("sha1:") or None}
-        if kind == "response":
+        if kind == "response" and b"\r\n\r\n" in block:
             payload = block[block.index(b"\r\n\r\n") + 4 :]
-            out |= {"payload_bytes": len(payload), "verified": base64.b32encode(hashlib.sha1(payload).digest()).decode() == out["digest"]}
+            digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            out |= {"payload_bytes": len(payload), "digest": digest, "verified": digest == out["digest"]}
             if payloads:
                 out["payload"] = payload.decode("utf-8", "replace")
         elif kind == "metadata":
