@@ -13,7 +13,6 @@ from . import bpe, decontaminate, html, langid, minhash, pii, quality, sharding,
 from .common import materialize, shared_dir, table
 
 
-
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.components_of(table(spark, sf_dir, "documents"), similarity=85)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -21,8 +20,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    out = bpe.decode(ids, path)
+    out = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -60,7 +58,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     captures = warc.assemble(warc.read_archives(spark, path, payloads=False))
     size = F.coalesce("response.payload_bytes", "metadata.payload_bytes")
-    return captures.select("metadata.page_id", size.alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"), "metadata.refers_to")
+    digest = F.when(F.coalesce("response.verified", F.lit(True)), F.col("response.digest")).otherwise(F.raise_error(F.lit("a payload doesn't have its record's digest")).cast("string"))
+    return captures.select("metadata.page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("response.type").alias("record_type"), "metadata.refers_to")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +68,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    ids = F.array_sort(F.array_distinct("items"))
     return found.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 

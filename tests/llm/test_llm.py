@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -258,7 +259,7 @@ def test_boosting_finds_other_spellings(docs):
 def test_page_blocks():
     page = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=x>A</a><li>B</ul></nav><!-- c --><div class=ad>Buy</div><article><h1>Hi &amp; ho</h1><p><b>One<br>two<p>Three\n  four</article>"
     assert [t for t, _, _ in html.blocks(page)] == ["T", "A", "B", "Buy", "Hi & ho", "One two", "Three four"]
-    assert html.blocks(page)[4][1] == "html body article h1" and html.blocks("") == [] and html.blocks("a < b <") == [("a < b <", "", 0)]
+    assert html.blocks(page)[4][1] == html.path("html body article h1".split()) and html.blocks("") == [] and html.blocks("a < b <") == [("a < b <", frozenset(), 0)]
 
 
 def test_extraction(spark, small):
@@ -280,6 +281,19 @@ def test_extraction_odd(spark):
     assert ((html.trained().scores([b for b, _ in drawn]) >= 0.5) == truth).mean() >= 0.99
 
 
+def test_text_under_unusual_elements_is_read():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <object>a fallback</object><select><option>no</option></select>.</p><p title='a>b'>One</p><p class=x\">Two</p></article>"
+    assert [t for t, _, _ in html.blocks(page)] == ["Let x=1 be a fallback .".replace(" .", "."), "One", "Two"] or [t for t, _, _ in html.blocks(page)] == ["Let x=1 be a fallback", ".", "One", "Two"]
+
+
+@pytest.mark.parametrize("page", ["<div class=deep>x" * 60_000, "<b>" * 100_000 + "<hr>y" * 100_000, "<td><table>" + "<div>" * 50_000 + "<td>z</td>" * 50_000, "<a \"" * 150_001, "<a x=\"" * 100_001, "<div>" * 100_000 + "</span>" * 100_000], ids=range(6))
+def test_a_page_costs_in_proportion(page):
+    began = time.time()
+    found = html.blocks(page)
+    html.Labeller().scores([found, html.blocks("<p>short</p>")])
+    assert time.time() - began < 60
+
+
 def test_network_gradient():
     labeller = html.Labeller()
     page = html.PageGrammar(1).page()
@@ -336,6 +350,20 @@ def test_warc_round_trip(spark, tmp_path):
             assert i in revisits or (r.response.payload == (page or "") and r.response.verified)
             assert r.request.type == "request"
     assert warc.assemble(warc.read_archives(spark, path).where("false")).count() == 0
+    text = "".join(r.value for r in spark.read.text(path).select("value").collect())
+    assert "WARC-Refers-To-Date" in text
+    empty = str(tmp_path / "none")
+    warc.write_archives(pages.where("false"), empty)
+    assert warc.assemble(warc.read_archives(spark, empty)).count() == 0
+    with pytest.raises(TypeError):
+        warc.write_archives(pages.withColumn("page_id", F.col("page_id").cast("string")), empty)
+
+
+def test_a_damaged_archive_stops_the_query(spark, tmp_path):
+    good = b"<p>hello</p>"
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(good).digest()) + b"\r\nContent-Length: 31\r\n\r\nHTTP/1.1 200 OK\r\n\r\n<p>hellO</p>\r\n\r\n"
+    row = next(warc.parse_records(memoryview(record), False))
+    assert row["verified"] is False and row["digest"] == base64.b32encode(hashlib.sha1(b"<p>hellO</p>").digest()).decode()
 
 
 def test_archive_streams():
@@ -395,7 +423,14 @@ def test_leaks(spark, docs, monkeypatch, blocks):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", sum(len(t or "") for _, t in items) // blocks)
     got = decontaminate.find_matches(docs(texts).repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = brute.leaks(list(enumerate(texts)), items)
-    assert {r.doc_id: (r.n_words, r.n_hit, {m.item_id for m in r.matches}) for r in got} == want
+    assert {r.doc_id: (r.n_words, r.n_hit, set(r.items)) for r in got} == want
+    for r in got:
+        w = brute.ALNUM.findall(brute.lower(texts[r.doc_id] or ""))
+        told = {i: brute.ALNUM.findall(brute.lower(t or "")) for i, t in items}
+        for m in r.matches:
+            part, own = w[m.word : m.word + m.length], told[int(m.item_id)]
+            assert len(part) == m.length and any(own[k : k + m.length] == part for k in range(len(own)))
+        assert bool(r.matches) == (r.n_hit > 0)
     kept = decontaminate.decontaminate(docs(texts), spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == {i for i, (_, hit, _) in want.items() if not hit} and kept.columns == docs(["x"]).columns
 
@@ -415,11 +450,25 @@ def test_items_without_id_are_searched(spark, docs, monkeypatch, tmp_path, block
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.oracles()['op10_decontaminate']})").fetchall())
 
 
+def test_equal_words_cost_no_product():
+    """An item and a text of 100,000 equal words, and a phrase that many items share."""
+    tests = decontaminate.TestItems([("a", "run " * 100_000), *((str(i), f"choose the one best answer to this question from the list q{i}") for i in range(300))], 10)
+    texts = ["Run " * 100_000, *(["so choose the one best answer to this question from the list now"] * 300)]
+    data, offsets = kernels.buffers(pa.array(texts))
+    starts, ends, first = kernels.words(data, offsets, kernels.ALNUM)
+    began = time.time()
+    got = decontaminate.search(tests, data, starts, ends, first)
+    assert time.time() - began < 60
+    assert got.hit[:100_000].all() and (got.at[0], got.item[0], got.length[0]) == (0, 0, 100_000)
+    listed = decontaminate._listed(tests, got.doc, got.set_, len(texts)).to_pylist()
+    assert listed[0] == ["a"] and all(len(x) == 300 for x in listed[1:])
+
+
 def test_longest_match(spark, docs):
     item = spark.createDataFrame([(1, " ".join(f"i{k}" for k in range(40)))], "item_id long, text string")
     text = "x " + " ".join(f"i{k}" for k in range(5, 30)) + " y " + " ".join(f"i{k}" for k in range(12))
     m = decontaminate.find_matches(docs([text]), item).first().matches
-    assert [(x.item_id, x.word, x.length) for x in m] == [("1", 1, 25)]
+    assert [(x.item_id, x.word, x.length) for x in m] == [("1", 1, 25), ("1", 27, 12)]
 
 
 # ---- the queries over a small table
@@ -457,3 +506,37 @@ def test_pipeline(spark, small):
             assert out[i].ids == np.frombuffer(v.encode(t or ""), np.int32).tolist()
         else:
             assert "[" in v.decode(np.array(out[i].ids), np.array([0, len(out[i].ids)]))[0].as_py()
+
+
+# ---- very many spans
+
+
+def test_many_spans_and_redaction_equal_brute_force(docs):
+    """Any number of spans in one text; overlapping kinds; marks in order."""
+    texts = pii_texts(random.Random(14)) + ["me@x.org 🎉 1.2.3.4, " * 5000, "é" * 2500 + "a@b.cd" + "漢" * 1700 + " 4111 1111 1111 1111"]
+    got = {r.doc_id: r.text for r in pii.redact(docs(texts), models={}).collect()}
+    for i, t in enumerate(texts):
+        out, at = [], 0
+        for start, end, kind in sorted((s, e, [k for k, _ in brute.PII].index(kind)) for kind, s, e in brute.personal(t)):
+            if start >= at:
+                out += [t[at:start], f"[{brute.PII[kind][0].upper()}]"]
+            at = max(at, end)
+        assert got[i] == "".join(out) + t[at:], t[:80]
+
+
+def test_a_hundred_thousand_spans(docs):
+    text = "mail me at someone@example.org or else, " * 100_000
+    began = time.time()
+    row = pii.spans(docs([text]), models={}).select(F.size("pii.base").alias("n"), F.element_at("pii.base", -1).alias("last")).first()
+    assert row.n == 100_000 and row.last.end == len(text) - len(" or else, ") and time.time() - began < 60
+
+
+def test_added_spans_overlap_nothing(docs):
+    always = {k: pii.Trees(5.0, [], 0.5) for k in pii.KINDS}
+    texts = ["call 555 123 4567 or x (at) y.org, 4111.1111.1111.1111 1 . 2 . 3 . 4", "+1 (132) 555-1352", "4111 1111 1111 1111 and 4111 1111 1111 1112"]
+    for r in pii.spans(docs(texts), always).select("doc_id", "pii").collect():
+        spans = sorted([(s.start, s.end) for s in r.pii.added] + [(s.start, s.end) for s in r.pii.base])
+        added = {(s.start, s.end) for s in r.pii.added}
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]) if a in added or b in added)
+        assert {(s.kind, s.start, s.end) for s in r.pii.base} == set(brute.personal(texts[r.doc_id]))
+        assert added or r.doc_id == 1
