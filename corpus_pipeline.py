@@ -45,7 +45,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and whether the ids decode to the text."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), TOKENIZER), TOKENIZER)
+    coded = bpe.round_trip(docs.select("doc_id", "text"), TOKENIZER)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("exact"))
 
 
