@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Short tokens that mean something.
-SHORT_WORDS = ["bbq", "blt", "ny", "lg", "sm", "xl", "oz", "lb", "pc", "w/", "of", "or", "in", "on"]
+SHORT_WORDS = ["bbq", "blt", "ny", "nyc", "sm", "lg", "xl", "oz", "jr", "md", "w/", "w", "&", "and", "or"]
 
 
 def spaces(text: Column) -> Column:

@@ -28,13 +28,6 @@ def metrics(items: DataFrame, variants: DataFrame, category: str = "category") -
     return own.join(with_variants, category, "left").join(prices_, category, "left").select(category, "n_items", zero("n_with_variants"), zero("n_variants"), "low", "high", "mean")
 
 
-def warnings(items: DataFrame) -> DataFrame:
-    """One row per item and warning of its own fields and counts; draft_warnings has all eleven rules."""
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    made = F.array(F.when(blank("name"), "missing_name"), F.when(blank("category"), "missing_category"), F.when((F.coalesce("price_cents", F.lit(0)) <= 0) & (F.col("n_variants") == 0), "missing_price"), F.when(F.col("n_variants_unpriced") > 0, "variant_missing_price"), F.when(F.col("n_labels") < F.col("n_variants"), "duplicate_variant_label"))
-    return items.select("item", F.explode(F.array_compact(made)).alias("warning"))
-
-
 def draft_warnings(items: DataFrame, variants: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per item and warning, with n: the variants or groups concerned, or 1 for a field of the item.
 
@@ -62,16 +55,6 @@ def draft_warnings(items: DataFrame, variants: DataFrame, groups: DataFrame) ->
     return every.select("item", F.inline(rows)).where("n > 0")
 
 
-def group_inconsistency(links: DataFrame, item: str, group: str, share: float = 0.5, least: int = 3) -> DataFrame:
-    """Groups that at least share of the items with groups have, with how many have and lack them (n of least items or more);
-    group_lacking lists the items."""
-    pairs = links.select(item, group).distinct()
-    items = pairs.select(item).distinct()
-    total = items.agg(F.count("*").alias("_n"))
-    common = pairs.groupBy(group).agg(F.count("*").alias("n_have")).join(F.broadcast(total)).where((F.col("_n") >= least) & (F.col("n_have") >= share * F.col("_n"))).withColumn("n_lack", F.col("_n") - F.col("n_have"))
-    return common.drop("_n")
-
-
 def group_lacking(links: DataFrame, category: str, item: str, group: str, share: float = 0.5, least: int = 3) -> DataFrame:
     """Per category the items with groups that lack a group which at least share of them have (n_items of least or more).
 

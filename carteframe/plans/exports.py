@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import exports as X
 from ..sources import bindings as B
-from .registry import ORACLES, query
+from .registry import query
 
-_BOTH = B.ITEMS + ", " + B.VARIANTS + ", i AS (SELECT pos AS item, name, category, price_cents FROM items), v AS (SELECT item, ordinal, 'L' || ordinal AS label, price_cents FROM variants WHERE item % 4 <> 0)"
+_BOTH = B.ITEMS + ", " + B.VARIANTS + ", i AS (SELECT pos AS item, name, category, price_cents FROM items), v AS (SELECT item, ordinal, 'L' || ordinal AS label, price_cents FROM variants)"
 _DOLLARS = lambda c: f"CASE WHEN coalesce({c}, 0) = 0 THEN '' ELSE ({c} // 100) || '.' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0') END"
 
 
-def _whole(f: Callable[[SparkSession, str], DataFrame]) -> str:
-    """The SQL form of f over all variants."""
-    return ORACLES[f.__name__].replace(" WHERE item % 4 <> 0", "")
-
-
-def _both(spark: SparkSession, sf_dir: str, which: str = "item % 4 != 0") -> tuple[DataFrame, DataFrame]:
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = B.items(spark, sf_dir).select(F.col("pos").alias("item"), "name", "category", "price_cents")
-    variants = B.variants(spark, sf_dir).where(which).withColumn("label", F.concat(F.lit("L"), F.col("ordinal").cast("string")))
+    variants = B.variants(spark, sf_dir).withColumn("label", F.concat(F.lit("L"), F.col("ordinal").cast("string")))
     return items, variants
 
 
@@ -34,17 +27,6 @@ def export_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.metrics(*_both(spark, sf_dir)).withColumn("mean", F.round("mean", 4))
 
 
-@query("""WITH i AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END AS name, CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_type END AS category, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 100 END AS price FROM part),
-c AS (SELECT l_partkey AS item, count(*) AS n, count(*) FILTER (WHERE l_tax = 0) AS u, count(DISTINCT l_linenumber) AS d FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1)
-SELECT item, 'missing_name' AS warning FROM i WHERE name = '' UNION ALL SELECT item, 'missing_category' FROM i WHERE category IS NULL UNION ALL SELECT i.item, 'missing_price' FROM i LEFT JOIN c USING (item) WHERE price = 0 AND n IS NULL
-UNION ALL SELECT item, 'variant_missing_price' FROM c WHERE u > 0 UNION ALL SELECT item, 'duplicate_variant_label' FROM c WHERE d < n""")
-def export_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
-    items = B.table(spark, sf_dir, "part").select(key.alias("item"), F.when(key % 17 == 0, "").otherwise(F.col("p_name")).alias("name"), F.when(key % 19 != 0, F.col("p_type")).alias("category"), F.when(key % 5 == 0, 0).otherwise(100).alias("price_cents"))
-    counts = B.table(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0").groupBy(F.col("l_partkey").alias("item")).agg(F.count("*").alias("n_variants"), F.sum((F.col("l_tax") == 0).cast("long")).alias("n_variants_unpriced"), F.countDistinct("l_linenumber").alias("n_labels"))
-    return X.warnings(items.join(counts, "item", "left").fillna(0, ["n_variants", "n_variants_unpriced", "n_labels"]))
-
-
 #: Labels by line number, and their places.
 _SIZES = {"Small": 20, "medium": 35, "LG": 40, "x-large": 50, "Half": 120, "Whole": 130, "family size": 140}
 
@@ -59,7 +41,7 @@ UNION ALL SELECT item, unpriced, 'variant_missing_price' FROM c UNION ALL SELECT
 UNION ALL SELECT item, count(*), 'modifier_group_empty' FROM g WHERE n = 0 GROUP BY 1 UNION ALL SELECT item, count(*), 'required_group_empty' FROM g WHERE n = 0 AND required GROUP BY 1
 UNION ALL SELECT item, count(*), 'group_min_exceeds_max' FROM g WHERE low > 0 AND high > 0 AND low > high GROUP BY 1 UNION ALL SELECT item, count(*), 'group_max_exceeds_count' FROM g WHERE n > 0 AND high > n GROUP BY 1)
 SELECT item, warning, n FROM w WHERE n > 0""")
-def export_warnings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def export_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lineitem rows as variants, blanked labels and prices in place of dropped rows, and groups of modifiers."""
     key, line = F.col("p_partkey"), F.col("l_linenumber")
     parts = B.table(spark, sf_dir, "part")
@@ -74,17 +56,10 @@ def export_warnings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.draft_warnings(items, variants, groups)
 
 
-@query("""WITH p AS (SELECT DISTINCT c_nationkey AS item, c_mktsegment AS grp FROM customer WHERE c_custkey % 9 = 0), t AS (SELECT count(DISTINCT item) AS n FROM p)
-SELECT grp, count(*) AS n_have, max(t.n) - count(*) AS n_lack FROM p, t GROUP BY 1 HAVING max(t.n) >= 3 AND count(*) >= 0.5 * max(t.n)""")
-def group_inconsistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = B.table(spark, sf_dir, "customer").where("c_custkey % 9 = 0").select(F.col("c_nationkey").alias("item"), F.col("c_mktsegment").alias("grp"))
-    return X.group_inconsistency(links, "item", "grp")
-
-
 @query("""WITH l AS (SELECT DISTINCT c_nationkey AS category, c_custkey AS item, o_orderpriority AS grp FROM customer JOIN orders ON o_custkey = c_custkey),
 t AS (SELECT category, count(DISTINCT item) AS n_items FROM l GROUP BY 1), c AS (SELECT category, grp, max(n_items) AS n_items, count(*) AS n_have FROM l JOIN t USING (category) GROUP BY 1, 2 HAVING max(n_items) >= 3 AND count(*) >= 0.5 * max(n_items))
 SELECT c.category, c.grp, n_items, n_have, i.item FROM c JOIN (SELECT DISTINCT category, item FROM l) i USING (category) WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.category = c.category AND l.grp = c.grp AND l.item = i.item)""")
-def group_inconsistency_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def group_inconsistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole tables: nations are categories, customers items, priorities of their orders groups."""
     customers = B.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("category"), F.col("c_custkey").alias("item"))
     orders = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item"), F.col("o_orderpriority").alias("grp"))
@@ -127,28 +102,3 @@ def structured_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.when(key % 7 == 0, "abc").when(key % 5 == 0, F.concat(F.lit("$"), size.cast("string"), F.lit(".50"))).when(key % 3 == 0, (size * 100).cast("string")).when(key % 2 == 0, "").otherwise(size.cast("string"))
     rows = B.table(spark, sf_dir, "part").select("p_partkey", F.when(key % 11 == 0, " ").otherwise(F.col("p_name")).alias("name"), price.alias("price"), (key % 120).alias("confidence"))
     return X.validate(rows).select("p_partkey", "price_cents", F.array_join("errors", ",").alias("errors"))
-
-
-@query(_whole(export_metrics))
-def export_metrics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.metrics(*_both(spark, sf_dir, "true")).withColumn("mean", F.round("mean", 4))
-
-
-@query(_whole(publish_rows))
-def publish_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.publish_rows(*_both(spark, sf_dir, "true"))
-
-
-@query(_whole(wide_pivot))
-def wide_pivot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.wide(*_both(spark, sf_dir, "true"), [f"L{k}" for k in range(1, 8)])
-
-
-@query(_whole(pos_rows))
-def pos_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.pos_rows(*_both(spark, sf_dir, "true"))
-
-
-@query(_whole(nested_pos_json))
-def nested_pos_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.nested_json(*_both(spark, sf_dir, "true")).drop("document")

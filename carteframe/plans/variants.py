@@ -19,12 +19,15 @@ def _of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.variants(spark, sf_dir).join(part, "item").select("category", "item", "ordinal", "price_cents")
 
 
-@query(f"""WITH {_CAT}, s AS (SELECT category, item, count(*) AS n_variants FROM v WHERE ordinal <> item % 8 GROUP BY 1, 2 HAVING count(*) >= 2),
+@query("""WITH s AS (SELECT o_orderpriority AS category, o_orderkey AS item, count(*) AS n_variants FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING count(*) >= 2),
 c AS (SELECT category, n_variants AS mode, count(*) AS c, min(item) AS p FROM s GROUP BY 1, 2),
 m AS (SELECT category, mode, c AS mode_count, sum(c) OVER (PARTITION BY category) AS n, row_number() OVER (PARTITION BY category ORDER BY c DESC, p) AS rn FROM c)
 SELECT s.category, s.item, s.n_variants, m.mode, m.mode_count, CAST(m.n AS BIGINT) AS group_items FROM s JOIN m ON m.category = s.category AND rn = 1 AND n >= 3 WHERE mode - n_variants >= 2""")
 def variant_count_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.count_outliers(_of(spark, sf_dir).where("ordinal != item % 8"), ["item"], ["category"], "item")
+    """Orders as items, their lines as variants, priorities as categories."""
+    orders = B.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), F.col("o_orderpriority").alias("category"))
+    lines = B.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("ordinal"))
+    return V.count_outliers(lines.join(orders, "item"), ["item"], ["category"], "item")
 
 
 @query(f"""WITH {_CAT}, s AS (SELECT category, item, list_sort(list(DISTINCT CASE WHEN item % 9 = 0 AND ordinal % 2 = 0 THEN ordinal + 20 ELSE ordinal END)) AS labels FROM v GROUP BY 1, 2 HAVING count(DISTINCT ordinal) >= 2),

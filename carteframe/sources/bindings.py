@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,3 +72,16 @@ def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = items(spark, sf_dir)
     shifted = rows.withColumn("price_cents", F.col("price_cents") + F.when(F.col("pos") % 5 == 0, 100).otherwise(0))
     return rows.where("pos % 7 <> 0"), shifted.where("pos % 11 <> 0")
+
+
+def phrases_sql(templates: Sequence[str | None], key: str = "p_partkey", name: str = "p_name") -> str:
+    """SQL of a text of each row: the template by key, with {n} as name and {p} as a price of p_size dollars and some cents."""
+    told = ", ".join("NULL" if t is None else "'" + t.replace("'", "''") + "'" for t in templates)
+    return f"replace(replace(list_extract([{told}], CAST(1 + {key} % {len(templates)} AS INTEGER)), '{{n}}', {name}), '{{p}}', p_size || '.' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0'))"
+
+
+def phrases(templates: Sequence[str | None], key: str = "p_partkey", name: str = "p_name") -> Column:
+    """The same as an expression over part."""
+    text = F.element_at(F.array(*(F.lit(t) for t in templates)), (F.col(key) % len(templates) + 1).cast("int"))
+    price = F.concat(F.col("p_size").cast("string"), F.lit("."), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"))
+    return F.replace(F.replace(text, F.lit("{n}"), F.col(name)), F.lit("{p}"), price)

@@ -12,9 +12,15 @@ from ..operators import writes
 
 #: Header aliases, compared without case and punctuation.
 ALIASES = {
-    "name": ["name", "item", "itemname", "title", "dish"], "description": ["description", "desc", "details"], "category": ["category", "section", "group", "menucategory"],
-    "subcategory": ["subcategory", "subsection"], "price": ["price", "cost", "amount"], "price_cents": ["pricecents"], "size": ["size", "portion"], "sku": ["sku", "code", "plu"],
-}
+    "name": ["name", "item", "itemname", "itemtitle", "title", "menuitem"],
+    "description": ["description", "desc", "details", "detail", "itemdescription"],
+    "category": ["category", "cat", "section", "group", "menusection", "menugroup"],
+    "subcategory": ["subcategory", "subcat", "subsection"],
+    "price": ["price", "cost", "amount", "baseprice", "listprice"],
+    "price_cents": ["pricecents"],
+    "size": ["size", "portion", "variant", "serving"],
+    "sku": ["sku", "code", "plu", "itemcode"],
+}
 
 
 def csv_items(spark: SparkSession, path: str) -> DataFrame:

@@ -220,7 +220,7 @@ def test_group_lacking(spark):
 def test_group_inconsistency_all_reads_every_customer(spark, small):
     from carteframe.plans import registry
 
-    rows = registry.QUERIES["group_inconsistency_all"](spark, small).collect()
+    rows = registry.QUERIES["group_inconsistency"](spark, small).collect()
     orders = spark.read.parquet(f"{small}/orders.parquet").select("o_custkey").distinct()
     per = {r.c_nationkey: r["count"] for r in spark.read.parquet(f"{small}/customer.parquet").join(orders, F.col("c_custkey") == F.col("o_custkey")).groupBy("c_nationkey").count().collect()}
     assert rows and all(r.n_items == per[r.category] for r in rows)
@@ -241,14 +241,14 @@ def test_whole_exports_keep_every_variant(spark, small):
     from carteframe.plans import registry
 
     n = spark.read.parquet(f"{small}/lineitem.parquet").select("l_partkey", "l_linenumber").distinct().count()
-    assert registry.QUERIES["export_metrics_all"](spark, small).agg(F.sum("n_variants")).first()[0] == n
-    assert registry.QUERIES["pos_rows_all"](spark, small).where("line > 0").count() == n
+    assert registry.QUERIES["export_metrics"](spark, small).agg(F.sum("n_variants")).first()[0] == n
+    assert registry.QUERIES["pos_rows"](spark, small).where("line > 0").count() == n
 
 
 def test_call_success_ratio_all_counts_every_event(spark, small):
     from carteframe.plans import registry
 
-    assert registry.QUERIES["call_success_ratio_all"](spark, small).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{small}/events.parquet").count()
+    assert registry.QUERIES["call_success_ratio"](spark, small).agg(F.sum("n")).first()[0] == spark.read.parquet(f"{small}/events.parquet").count()
 
 
 def test_category_classifier_predicts_every_document_as_plain_bayes_does(spark, small):
