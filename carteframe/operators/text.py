@@ -32,18 +32,31 @@ def quality(text: Column) -> dict[str, Column]:
 
 
 def is_garbage(line: Column) -> Column:
-    """Too few vowels, too many symbols or too long a run of consonants; a price or a menu word allows more."""
-    text = F.trim(F.regexp_replace(line, r"[ \t\n\x0B\f\r]+", " "))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    vowels = F.when(letters > 0, F.length(F.regexp_replace(F.lower(text), "[^aeiouy]", "")) / letters).otherwise(0.0)
-    symbols = F.length(F.regexp_replace(text, r"[\p{L}\p{N} ]", "")) / F.greatest(F.length(text), F.lit(1))
-    run = lambda n: F.lower(text).rlike(f"[bcdfghjklmnpqrstvwxz]{{{n + 1}}}")
-    priced, alpha = text.rlike(PRICE), letters > 0
-    menu = F.exists(F.array(*map(F.lit, MENU_WORDS)), lambda w: F.lower(text).contains(w)) | priced & alpha & (F.length(text) >= 8) | alpha & text.contains(" ") & (F.length(text) >= 15)
-    loose = (symbols > 0.85) & (vowels < 0.10) | run(MOST_CONSONANTS + 4)
-    middle = (vowels < 0.6 * LEAST_VOWELS) | run(MOST_CONSONANTS + 2) | (symbols > 1.25 * MOST_SYMBOLS)
-    strict = (vowels < LEAST_VOWELS) | run(MOST_CONSONANTS) | (symbols > MOST_SYMBOLS)
-    return F.when(F.length(text) < 2, True).when(menu, loose).when(priced, middle).otherwise(strict)
+    """Too few vowels, too many symbols or too long a run of consonants; a price or a menu word allows more.
+
+    What several rules need is computed once for a line, and a rule's words and runs are one pattern each."""
+    blank = r"[ \t\n\x0B\f\r]{2,}|[\t\n\x0B\f\r]"  # a single space is one already
+
+    def facts(t: Column) -> Column:
+        low = F.lower(t)
+        count = lambda kept: F.length(F.regexp_replace(t, kept, "")).alias
+        run = F.array_max(F.transform(F.regexp_extract_all(low, F.lit(f"([bcdfghjklmnpqrstvwxz]{{{MOST_CONSONANTS + 1},}})"), F.lit(1)), F.length))
+        return F.struct(
+            F.length(t).alias("size"), count(r"[^\p{L}]+")("letters"), F.length(F.regexp_replace(low, "[^aeiouy]+", "")).alias("vowels"), count(r"[\p{L}\p{N} ]+")("symbols"),
+            F.coalesce(run, F.lit(0)).alias("run"), t.rlike(PRICE).alias("priced"), low.rlike("|".join(MENU_WORDS)).alias("word"), t.contains(" ").alias("spaced"),
+        )
+
+    def judged(x: Column) -> Column:
+        size, run, priced, alpha = x["size"], x["run"], x["priced"], x["letters"] > 0
+        vowels, symbols = F.when(alpha, x["vowels"] / x["letters"]).otherwise(0.0), x["symbols"] / F.greatest(size, F.lit(1))
+        menu = x["word"] | priced & alpha & (size >= 8) | alpha & x["spaced"] & (size >= 15)
+        loose = (symbols > 0.85) & (vowels < 0.10) | (run > MOST_CONSONANTS + 4)
+        middle = (vowels < 0.6 * LEAST_VOWELS) | (run > MOST_CONSONANTS + 2) | (symbols > 1.25 * MOST_SYMBOLS)
+        strict = (vowels < LEAST_VOWELS) | (run > MOST_CONSONANTS) | (symbols > MOST_SYMBOLS)
+        return F.when(size < 2, True).when(menu, loose).when(priced, middle).otherwise(strict)
+
+    trimmed = F.transform(F.array(F.trim(F.regexp_replace(line, blank, " "))), facts)
+    return F.transform(trimmed, judged)[0]
 
 
 def line_type(line: Column) -> Column:
