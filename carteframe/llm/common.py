@@ -46,7 +46,11 @@ def integer_ids(df: DataFrame, id_col: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where none is set and the master is local (tests), a new local one."""
+    """This application's folder in the one that driver and executors share, removed when the driver ends; only where none
+    is set and the master is local (tests), a new local one."""
+    app = spark.sparkContext.applicationId
+    if app in _RUNS:
+        return _RUNS[app]
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
@@ -54,7 +58,21 @@ def shared_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="carteframe-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    run = _RUNS[app] = f"{path.rstrip('/')}/carteframe-{app}"
+    atexit.register(_remove, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), run)
+    return run
+
+
+_RUNS: dict[str, str] = {}
+
+
+def _remove(jvm, conf, path: str) -> None:
+    """Deletes a run's tables when the driver ends; a store that can't be reached any more keeps them."""
+    try:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    except Exception:  # noqa: BLE001  the gateway may be gone
+        pass
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -11,7 +11,7 @@ other copy of a window must have too. Rounds in Spark:
 3. candidates are verified by 96-bit hashes of all their words: the least document of each;
 4. words under windows that start in a smaller document go.
 
-Defined cases: null is as empty; texts under one window lose nothing; a row without id loses nothing and is no source;
+Defined cases: ids are integers, others are refused; null is as empty; texts under one window lose nothing; a row without id loses nothing and is no source;
 rows with the same id are one document, whose windows aren't repeats of each other; other columns are kept by
 ``remove_repeats``.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import map_arrow, materialize, slices
+from .common import fresh, integer_ids, map_arrow, materialize, slices
 
 #: Consecutive words of a repeat.
 WINDOW = 50
@@ -139,6 +139,7 @@ def _among(values: np.ndarray, rows: np.ndarray, known: pa.ListArray) -> np.ndar
 
 def lost_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document that loses words: id; hashes, the windows that start in a smaller one too; wholes, its texts that are whole in a smaller one."""
+    integer_ids(docs, id_col)
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +198,9 @@ def lost_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs and n_words, n_removed, kept_text (kept words joined by one space); columns already so named are replaced."""
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    lost = lost_passages(docs, window, id_col, text_col).select(F.col("id").alias("_lost_id"), F.col("hashes").alias("_hashes"), F.col("wholes").alias("_wholes"))
-    joined = docs.join(lost, F.col(id_col) == F.col("_lost_id"), "left").drop("_lost_id")
+    key, held, whole = (fresh(docs, n) for n in ("_lost_id", "_hashes", "_wholes"))
+    lost = lost_passages(docs, window, id_col, text_col).select(F.col("id").alias(key), F.col("hashes").alias(held), F.col("wholes").alias(whole))
+    joined = docs.join(lost, F.col(id_col) == F.col(key), "left").drop(key)
     names = docs.columns
     schema = docs.select("*").schema
     for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_text", "string")):

@@ -540,3 +540,127 @@ def test_added_spans_overlap_nothing(docs):
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]) if a in added or b in added)
         assert {(s.kind, s.start, s.end) for s in r.pii.base} == set(brute.personal(texts[r.doc_id]))
         assert added or r.doc_id == 1
+
+
+# ---- words that a polynomial hash would confuse
+
+
+def thue_morse(n=1024):
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_one_polynomial_value_differ(spark, docs):
+    one, two = thue_morse()
+    tail = " ".join(f"t{k}" for k in range(60))
+    texts = [f"{one} " * 12, f"{two} " * 12, f"{one} {tail}", f"{two} {tail}", f"{one} {two} " * 6]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.components_of(docs(texts), 85).collect()}
+    assert got == brute.components(list(enumerate(texts)), 85)
+    out = substring.remove_repeats(docs([f"{one} " * 60, f"{two} " * 60])).collect()
+    assert [r.n_removed for r in out] == [0, 0]
+    for r in quality.statistics(docs(texts)).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.rules(texts[r.doc_id])
+    items = [(1, f"{one} " * 10), (2, two)]
+    want = brute.leaks(list(enumerate(texts)), items)
+    got = decontaminate.find_matches(docs(texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, set(r.items)) for r in got} == want
+
+
+def test_colliding_names_are_found_and_replaced(monkeypatch):
+    """With a hash of two bits nearly all words collide; sets are still exact."""
+    texts = [" ".join(words(random.Random(k), 30)) for k in range(4)]
+    monkeypatch.setattr(kernels, "mix", lambda x: x & kernels.U(3))
+    values, first = minhash.shingle_sets(pa.array(texts))
+    monkeypatch.undo()
+    sets = [frozenset(values[a:b].tolist()) for a, b in zip(first, first[1:])]
+    exact = [brute.shingles(t) for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in exact]
+    assert all(len(sets[i] & sets[j]) == len(exact[i] & exact[j]) for i in range(4) for j in range(4))
+
+
+def test_a_very_long_text_stays_in_bounds():
+    import resource
+
+    text = pa.array(["x" * 8_000_000 + " " + "word and " * 1_000_000])
+    began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    minhash.shingle_sets(text, checked=False)
+    substring.Texts(text, 50).wholes()
+    quality.count_texts(*kernels.buffers(text))
+    assert time.time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 2_000_000
+
+
+# ---- more of the queries against plain forms
+
+
+def test_more_queries_equal_brute_force(spark, small):
+    import math
+    import struct
+
+    import xxhash
+    from tokenizers import Tokenizer
+
+    rows = dict(near(spark, small))
+
+    def shard(key, n):
+        def score(k):
+            h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+            h = xxhash.xxh64_intdigest(struct.pack("<i", k), h)
+            return -1 / math.log(((h >> 11) + 0.5) / (1 << 53))
+
+        return max(range(n), key=lambda k: (score(k), k))
+
+    got = queries.op9_sharding(spark, small).collect()
+    for r in got:
+        assert (r.shard, r.grown_shard, r.size, r.text_crc32, r.law) == (shard(r.doc_id, 8), shard(r.doc_id, 9), len((rows[r.doc_id] or "").encode()) + 1, brute.crc(rows[r.doc_id]), "key")
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    library = Tokenizer.from_file(VOCABULARY)
+    for r in queries.op2_bpe(spark, small).collect():
+        ids = library.encode(rows[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), brute.sha(",".join(map(str, ids))), brute.sha(library.decode(ids, skip_special_tokens=False)))
+    for r in queries.op7_quality(spark, small).collect():
+        want = brute.rules(rows[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and (not r.kept or not r.base_failed)
+    assert all(r.n_chars == len(r.text) for r in queries.op6_html(spark, small).collect())
+    for r in queries.op5_pii(spark, small).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        base = {(k, str(a), str(b)) for k, a, b in brute.personal(rows[r.doc_id])}
+        assert base <= {tuple(x) for x in spans} and [(pii.KINDS.index(k), int(a)) for k, a, _ in spans] == sorted((pii.KINDS.index(k), int(a)) for k, a, _ in spans)
+
+
+def test_filters_are_near_exact_sets():
+    """Corrected counts differ from those of exact sets by the filters' false positives only."""
+    rng = np.random.default_rng(3)
+    codes = {k: np.unique(rng.integers(0, 1 << 32, 3000, dtype=np.uint32)) for k in ("a", "b")}
+    filters = langid.Filters(["a", "b"], codes)
+    assert (filters.false < 0.1).all()
+    text = np.concatenate([codes["a"][:500], rng.integers(0, 1 << 32, 500, dtype=np.uint32)])
+    for i, k in enumerate(("a", "b")):
+        hits = np.all([filters.slices[0][p] >> kernels.U(i) & kernels.U(1) for p in langid.probes(text, filters.positions)], axis=0)
+        exact = np.isin(text, codes[k])
+        assert hits[exact].all() and hits[~exact].mean() < 0.1
+
+
+def test_empty_tables_and_clashing_names(spark, docs):
+    none = docs([""]).where("false")
+    assert bpe.round_trip(none, VOCABULARY).count() == 0 and pii.redact(none, {}).count() == 0
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert decontaminate.find_matches(none, items).count() == 0 and decontaminate.decontaminate(docs(["a b c", "x"]), items.where("false")).count() == 2
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html.extract(pages).count() == 0
+    clash = docs(["a b c d e f", "a b c d e f", None]).withColumn("_lost", F.lit(1)).withColumn("_lost_id", F.lit(2)).withColumn("_hashes", F.lit(3)).withColumn("_wholes", F.lit(4)).withColumn("_pii", F.lit(5))
+    assert {r.doc_id for r in minhash.deduplicate(clash).collect()} == {0, 2}
+    assert {(r._lost_id, r._hashes, r._wholes) for r in substring.remove_repeats(clash).collect()} == {(2, 3, 4)}
+    assert {r._pii for r in pii.redact(clash, {}).collect()} == {5}
+    for f in (minhash.components_of, substring.remove_repeats):
+        with pytest.raises(TypeError):
+            f(docs(["a"]).withColumn("doc_id", F.lit("x")))
+
+
+def test_odd_rows_in_decontamination(spark, docs, odd):
+    items = [(None, "one"), ("x", "a b c d e"), ("y", None), ("z", "word " * 12), ("w", "ß")]
+    want = brute.leaks([(k, t) for k, t in enumerate(x[1] if isinstance(x, tuple) else x for x in odd)], items)
+    frame = docs([(k, x[1] if isinstance(x, tuple) else x) for k, x in enumerate(odd)])
+    got = decontaminate.find_matches(frame, spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, {str(i) for i in r.items}) for r in got} == want
