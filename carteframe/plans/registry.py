@@ -23,7 +23,7 @@ def query(oracle: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from . import catalog, drafts, exports, market, menus, prices, quality, relations, rules, text, variants, writes  # noqa: F401
+    from . import catalog, drafts, exports, grammar, market, menus, prices, quality, relations, rules, text, variants, writes  # noqa: F401
 
 
 load()
