@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import grammar as G
 from ..functions import price_texts as P
 from ..functions import quotes as Q
+from ..functions import rescue as R
+from ..operators import cleaning
 from ..sources import bindings as B
 from .registry import query
 
@@ -120,3 +122,55 @@ def size_header_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.array_join(F.transform("placed", lambda v: F.concat(v["label"], F.lit("="), v["price_cents"].cast("string"))), "|")
     sure = F.coalesce(F.try_element_at("placed", F.lit(1))["confidence"], F.lit(0.0))
     return rows.select("pos", F.size("cols").cast("bigint").alias("n_columns"), F.array_join("cols", "|").alias("columns"), told.alias("variants"), G.tier(sure).alias("tier"))
+
+
+_TITLES = [
+    "{n} Soooo good....", "Calzones Stuffed With ricotta, mozzarella and sauce, plus many other long things to make this name really long", "{n} (ham, pineapple, mozzarella)", "MEAT LOVERS PIZZA WITH PEPPERONI SAUSAGE BACON HAM AND A LOT OF THINGS MORE {n}",
+    "House Pizza - a long list of toppings that goes on and on and on for everyone who likes {n}", "one two three four five six and seven nine ten eleven twelve {n}", "Big Pizza topped with ham and much more ham and yet more ham on every day of the week {n}", None, "", "Bob's NY BBQ ## {n}!!", "x (ab)",
+    "Two Piece Dinner: the best there is of all the things that we have ever made for you {n}", "Garlic Knots .... {p} || x",
+]
+_TEXTS = ["a, b ham w/ cheese & and olives, x with", "SERVED WITH FRIES AND COLESLAW", "fries on the side and", None, "", "*** ~~ ]] a b", "short", "ham ,, cheese and/or bacon, or or onion with and", "{n} w, sauce , {p} for the", "Eb Ss Qq aa bb ham", "AMPLE BBQ NY 12 lg x y"]
+
+
+def _marks(c: str) -> str:
+    burst = lambda t: f"regexp_replace({t}, '([\\p{{L}}\\p{{N}}_])[^\\p{{L}}\\p{{N}}_\\s]+([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g')"
+    return f"trim(regexp_replace({burst(burst(f"""regexp_replace(regexp_replace(regexp_replace({c}, '\\.{{2,}}\\s*', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s$.,&()/+''-]{{2,}}', ' ', 'g'), '\\|{{2,}}', ' ', 'g')"""))}, '\\s+', ' ', 'g'))"
+
+
+def _runs(c: str) -> str:
+    return f"array_to_string(list_transform(range(1, length({c}) + 1), lambda i: CASE WHEN i > 2 AND {c}[i] = {c}[i - 1] AND {c}[i] = {c}[i - 2] THEN '' ELSE {c}[i] END), '')"
+
+
+def _count(c: str) -> str:
+    return f"len(list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> ''))"
+
+
+_ENOUGH = f"{_count('head')} >= 2 AND {_count('tail')} >= 3"
+_MARKS = " UNION ALL ".join(f"SELECT pos, {i} AS step, trim(n[1:strpos(n, '{s}') - 1], ' -–—:·•') AS head, trim(substr(n, strpos(n, '{s}') + {len(s)})) AS tail, true AS turn, strpos(n, '{s}') > 1 AS ok FROM c" for i, s in enumerate([" - ", " — ", " – ", ":", " • ", " · "]))
+
+
+@query(rf"""WITH {_sql(name=_TITLES, line=_TEXTS)}, a AS (SELECT pos, trim(coalesce(name, '')) AS raw_name, trim(coalesce(line, '')) AS raw FROM x), r AS (SELECT *, {_runs('raw_name')} AS ran FROM a),
+b AS (SELECT *, trim(regexp_replace({_marks('ran')}, '[^\p{{L}}\p{{N}}_)\]]+$', '')) AS bare FROM r),
+c AS (SELECT *, array_to_string(list_transform(string_split(bare, ' '), lambda t: CASE WHEN length(t) <= 2 OR (t = upper(t) AND t <> lower(t)) THEN t ELSE upper(t[1]) || lower(t[2:]) END), ' ') AS n FROM b),
+o AS ({_MARKS}
+  UNION ALL SELECT pos, 6, trim(regexp_extract(n, '(?i)^(.*?)\b(topped with|served with|comes with|made with|includes|featuring)\b', 1)), trim(substr(n, length(regexp_extract(n, '(?i)^(.*?)\b(topped with|served with|comes with|made with|includes|featuring)\b', 1)) + 1)), false, regexp_matches(n, '(?i)\b(topped with|served with|comes with|made with|includes|featuring)\b') FROM c
+  UNION ALL SELECT pos, 7, trim(regexp_extract(n, '(?i)^(.*?)\bwith\b', 1)), trim(substr(n, length(regexp_extract(n, '(?i)^(.*?)\bwith\b', 1)) + 1)), false, regexp_matches(n, '(?i)\bwith\b') FROM c
+  UNION ALL SELECT pos, 8, trim(n[1:strpos(n, ', ') - 1], ', '), trim(substr(n, strpos(n, ', ') + 2)), true, strpos(n, ', ') > 11 AND strpos(n, ', ') - 1 < length(n) - 10 FROM c),
+p AS (SELECT pos, step, head, tail, turn FROM o WHERE ok AND {_ENOUGH} UNION ALL SELECT pos, 9, array_to_string(w[1:least(6, len(w) - 3)], ' '), array_to_string(w[least(6, len(w) - 3) + 1:], ' '), true FROM (SELECT pos, string_split(n, ' ') AS w FROM c) WHERE len(w) >= 8),
+q AS (SELECT pos, arg_min(struct_pack(head := CASE WHEN turn THEN regexp_replace(head, '(?i)\s(with|and|or|on|in)$', '') ELSE head END, tail := CASE WHEN turn AND regexp_matches(head, '(?i)\s(with|and|or|on|in)$') THEN regexp_extract(head, '\S+$') || ' ' ELSE '' END || tail), step) AS best FROM p GROUP BY 1),
+s AS (SELECT c.*, best, regexp_extract(n, '\s*\(([^)]{{5,}})\)\s*') AS whole_bracket, trim(regexp_extract(n, '\s*\(([^)]{{5,}})\)\s*', 1)) AS inside FROM c LEFT JOIN q ON q.pos = c.pos),
+t AS (SELECT *, trim(replace(n, whole_bracket, ' ')) AS outside FROM s),
+u AS (SELECT *, CASE WHEN length(raw) >= 10 THEN struct_pack(head := n, tail := '') WHEN whole_bracket <> '' AND outside <> '' AND {_count('inside')} >= 2 THEN struct_pack(head := outside, tail := inside) WHEN (length(n) >= 80 OR {_count('n')} >= 12) AND best IS NOT NULL THEN best ELSE struct_pack(head := n, tail := '') END AS split FROM t),
+v AS (SELECT pos, raw_name, n, split.head AS head, split.tail AS tail, trim(raw || ' ' || split.tail) AS whole FROM u), v2 AS (SELECT *, {_runs('whole')} AS ran FROM v),
+d1 AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace({_marks('ran')}, '\s*,\s*', ', ', 'g'), ',\s*,+', ', ', 'g'), '\s+', ' ', 'g')) AS d FROM v2),
+d2 AS (SELECT * REPLACE (regexp_replace(regexp_replace(d, '(?i)\s(with|and|or|on|in)$', ''), '((^| )\p{{L}})+$', '') AS d) FROM d1),
+d3 AS (SELECT * REPLACE (array_to_string(list_filter(string_split_regex(d, '\s+'), lambda w: trim(w, ',.;:/!?)(') <> '' AND (lower(trim(w, ',.;:/!?)(')) IN ('bbq', 'blt', 'ny', 'nyc', 'sm', 'lg', 'xl', 'oz', 'jr', 'md', 'w/', 'w', '&', 'and', 'or') OR regexp_full_match(trim(w, ',.;:/!?)('), '\d+') OR length(trim(w, ',.;:/!?)(')) > 2)), ' ') AS d) FROM d2),
+d4 AS (SELECT * REPLACE (trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(d, '(?i)\bw/\s*', 'with ', 'g'), '(?i)\bw[.,]\s+', 'with ', 'g'), '(?i)\bw\b', 'with', 'g'), '\s+', ' ', 'g')) AS d) FROM d3),
+d5 AS (SELECT * REPLACE (array_to_string(list_filter(string_split(d, ' '), lambda w: regexp_matches(w, '[A-Za-z0-9]')), ' ') AS d) FROM d4),
+d6 AS (SELECT * REPLACE (CASE WHEN length(regexp_replace(d, '[^\p{{L}}]', '', 'g')) >= 10 AND length(regexp_replace(d, '[^\p{{Lu}}]', '', 'g')) / length(regexp_replace(d, '[^\p{{L}}]', '', 'g')) > 0.8 THEN upper(d[1]) || lower(d[2:]) ELSE d END AS d) FROM d5),
+d7 AS (SELECT * REPLACE (CASE WHEN regexp_matches(lower(d), '\b(on\s+side|the\s+side|the\s+sid\b)') THEN d ELSE trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(d, '(?i)\band\s*/\s*or\b|\bor\s*/\s*and\b', 'or', 'g'), '(?i)\b(and|or|&)\s+(and|or|&)\b', '\1', 'g'), '(?i),\s+(and|or|&)\b', ' \1', 'g'), '(?i)\b(with|and|or|&|on the|for the)\b[\s.,;:!]*$', ''), '\s+', ' ', 'g')) END AS d) FROM d6),
+e AS (SELECT *, CASE WHEN whole = '' THEN 0.0 ELSE len(list_filter(string_split_regex(d, '\s+'), lambda w: w <> '' AND contains(lower(whole), lower(w)))) / greatest({_count('whole')}, 1) END AS saved FROM d7)
+SELECT pos, n AS title, CASE WHEN head <> '' THEN head ELSE raw_name END AS name, CASE WHEN whole = '' AND d = '' THEN '' WHEN saved < 0.2 AND {_count('d')} <= 3 THEN '[AI Cleaned]' WHEN saved < 0.5 AND NOT starts_with(d, '[AI Cleaned]') THEN trim('[AI Cleaned] ' || d) ELSE d END AS description FROM e""")
+def item_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _part(spark, sf_dir, name=_TITLES, line=_TEXTS).withColumn("title", R.item_name(F.trim(F.coalesce("name", F.lit("")))))
+    return cleaning.cleaned_items(rows, "name", "line").select("pos", "title", "name", F.col("line").alias("description"))

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from carteframe.functions import grammar as G
+from carteframe.functions import rescue
+from carteframe.operators import cleaning
 
 
 def one(spark, f, text):
@@ -51,3 +53,24 @@ def test_columns(spark):
 def test_grid_variants(spark, cents, want):
     df = spark.createDataFrame([(["S", "M", "L"], cents)], "c array<string>, p array<int>")
     assert [tuple(v) for v in df.select(G.grid_variants(F.col("c"), F.col("p")).alias("v")).first().v] == want
+
+
+def test_rescue(spark):
+    rows = [
+        ("Hawaiian (ham, pineapple, mozzarella)", None, ("Hawaiian", "ham, pineapple, mozzarella")),
+        ("Hawaiian (ham, pineapple, mozzarella)", "long enough", ("Hawaiian (ham, pineapple, mozzarella)", "")),
+        ("Calzones Stuffed With: ricotta, mozzarella and sauce and many other things that make this a long name", "", ("Calzones Stuffed", "With ricotta, mozzarella and sauce and many other things that make this a long name")),
+        ("Big Pizza without any of the cheese that most other people would like so very much on it at all", "", ("Big Pizza without any of the", "cheese that most other people would like so very much on it at all")),
+        ("Plain", "", ("Plain", "")),
+        (None, None, ("", "")),
+    ]
+    df = spark.createDataFrame([(i, n, d) for i, (n, d, _) in enumerate(rows)], "i int, n string, d string")
+    got = {r.i: tuple(r.r) for r in df.select("i", rescue.rescued(F.col("n"), F.col("d")).alias("r")).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(rows)}
+
+
+def test_cleaned_items_keep_other_columns(spark):
+    df = spark.createDataFrame([(1, "Garlic Knots....", "a, b ham w/ cheese & and olives, x with", 599), (2, "Plain", "*** ~~ ]] a b", None), (3, None, None, 5), (3, None, None, 5)], "id int, name string, description string, price_cents int")
+    got = sorted(map(tuple, cleaning.cleaned_items(df).collect()))
+    assert got == [(1, "Garlic Knots", "ham with cheese and olives,", 599), (2, "Plain", "[AI Cleaned]", None), (3, "", "", 5), (3, "", "", 5)]
+    assert cleaning.cleaned_items(df.limit(0)).count() == 0
