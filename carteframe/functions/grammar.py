@@ -147,31 +147,18 @@ def _vocabulary() -> list[tuple[str, str]]:
     return sorted(kinds.items(), key=lambda pair: -len(pair[0]))
 
 
-def components(parts: Column) -> Column:
-    """struct(toppings, sauce, preparation, flavors) of the parts of a description. A part has the kind of the longest known
-    word in it. The first sauce is the sauce, the first way of making the preparation, what is left of that part a topping;
-    tastes are flavors, all else toppings. Two parts or more that are tastes alone are all flavors."""
+def told_parts(parts: Column) -> Column:
+    """array<struct(i, part, low, word, kind, way)>: each part with the longest known word in it, that word's kind, and its
+    first word if that is a way of making."""
     vocabulary = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(k).alias("kind")) for w, k in _vocabulary()))
 
     def told(part: Column, i: Column) -> Column:
         low = F.lower(part)
         known = F.try_element_at(F.filter(vocabulary, lambda v: F.contains(low, v["word"])), F.lit(1))
         first = F.regexp_extract(low, r"^\S+", 0)
-        return F.struct(i.alias("i"), part.alias("part"), low.alias("low"), known["word"].alias("word"), known["kind"].alias("kind"), F.when(first.isin(*PREPARATIONS), first).alias("way"))
-
-    rows = F.transform(parts, told)
-    only_tastes = (F.size(parts) >= 2) & F.forall(rows, lambda r: r["low"].isin(*TASTES))
-    sauce = F.try_element_at(F.filter(rows, lambda r: ~only_tastes & (r["kind"] == "sauce")), F.lit(1))
-    is_sauce = lambda r: r["i"].eqNullSafe(sauce["i"])
-    made = F.try_element_at(F.filter(rows, lambda r: ~only_tastes & ~is_sauce(r) & (r["way"].isNotNull() | r["kind"].eqNullSafe("preparation"))), F.lit(1))
-    way = F.coalesce(made["way"], made["word"])
-    is_made = lambda r: r["i"].eqNullSafe(made["i"])
-    left = F.trim(F.concat(F.substr(made["low"], F.lit(1), F.instr(made["low"], way) - 1), F.substr(made["low"], F.instr(made["low"], way) + F.length(way))))
-    is_taste = lambda r: only_tastes | r["kind"].eqNullSafe("flavor")
-    others = F.filter(rows, lambda r: ~is_sauce(r) & (is_made(r) | ~is_taste(r)))
-    toppings = F.filter(F.transform(others, lambda r: F.when(is_made(r), left).otherwise(r["part"])), lambda t: t != "")
-    flavors = F.transform(F.filter(rows, lambda r: ~is_sauce(r) & ~is_made(r) & is_taste(r)), lambda r: r["low"])
-    return F.struct(toppings.alias("toppings"), F.trim(F.regexp_replace(sauce["word"], " (?:base|sauce|dressing)$", "")).alias("sauce"), way.alias("preparation"), flavors.alias("flavors"))
+        return F.struct(i.alias("i"), part.alias("part"), low.alias("low"), known.alias("known"), F.when(first.isin(*PREPARATIONS), first).alias("way"))
+
+    return F.transform(F.transform(parts, told), lambda r: F.struct(r["i"], r["part"], r["low"], r["known"]["word"].alias("word"), r["known"]["kind"].alias("kind"), r["way"]))
 
 
 def column_segments(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import prices, sizes
@@ -112,3 +113,49 @@ def validate(rows: DataFrame) -> DataFrame:
         F.when(~F.col("confidence").between(0, 100), "confidence_range"),
     ))
     return rows.withColumn("price_cents", cents).withColumn("errors", made)
+
+
+#: What an option group of variants of one kind is called.
+KIND_TITLES = {"size": "Size", "combo": "Combo Add-on", "flavor": "Flavor", "style": "Style", "other": "Option"}
+
+
+def option_rows(items: DataFrame, groups: DataFrame, variants: DataFrame) -> DataFrame:
+    """Rows of an import by menu group, item and option. An item's row is line 0; the modifiers of its groups follow by the
+    groups' position and their own ordinal, then its variants without a group, by kinds in the order of their first variant.
+
+    items: item, name, category, price_cents; groups: item, grp, title, required, position; variants: item, grp, kind, label,
+    price_cents, ordinal. A blank category is Uncategorized, a kind that is NULL a size, and an unknown one an option. Modifiers
+    of a group that its item lacks are left out; groups without modifiers give no row."""
+    none = F.lit("")
+    shown = lambda c: prices.dollars(F.coalesce(F.col(c), F.lit(0)))
+    category = F.coalesce(F.nullif(F.col("category"), none), F.lit("Uncategorized"))
+    head = items.select("item", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("place"), F.lit(0).cast("bigint").alias("ordinal"), category.alias("menu_group"), F.coalesce("name", none).alias("menu_item"), shown("price_cents").alias("base_price"), none.alias("option_group"), none.alias("option"), none.alias("option_price"), none.alias("required"))
+    told = ["item", "part", "place", F.col("ordinal").cast("bigint").alias("ordinal"), none.alias("menu_group"), none.alias("menu_item"), none.alias("base_price"), "option_group", F.coalesce("label", none).alias("option"), shown("price_cents").alias("option_price"), "required"]
+    titled = groups.select("item", "grp", F.coalesce("title", F.lit("Option")).alias("option_group"), F.when(F.col("required"), "Y").otherwise("N").alias("required"), F.col("position").cast("bigint").alias("place"))
+    grouped = variants.join(titled, ["item", "grp"]).withColumn("part", F.lit(1)).select(*told)
+    kind = F.coalesce("kind", F.lit("size"))
+    title = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in KIND_TITLES.items() for x in pair)), kind), F.lit("Option"))
+    first = F.min("ordinal").over(W.partitionBy("item", kind)).cast("bigint")
+    loose = variants.where("grp is null").withColumns({"place": first, "option_group": title, "required": none, "part": F.lit(2)}).select(*told)
+    line = F.row_number().over(W.partitionBy("item").orderBy("part", "place", "ordinal", "option")) - 1
+    return head.unionByName(grouped).unionByName(loose).withColumn("line", line.cast("bigint")).drop("part", "place", "ordinal")
+
+
+def round_trips(items: DataFrame, variants: DataFrame) -> DataFrame:
+    """One row for csv and one for json: items and variants before the rows were written as text and after they were read
+    back, and whether both agree. items: item, name, category, price_cents; variants: item, label, price_cents. A row counts
+    as read if its kind, key and price come back as they were."""
+    rows = items.select(F.lit("item").alias("kind"), "item", "name", "category", F.col("price_cents").cast("bigint").alias("price_cents")).unionByName(
+        variants.select(F.lit("variant").alias("kind"), "item", F.col("label").alias("name"), F.lit("").alias("category"), F.col("price_cents").cast("bigint").alias("price_cents"))
+    )
+    schema = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    whole = F.struct(*rows.columns)
+    signs = {"escape": '"', "emptyValue": "", "nullValue": "\\N"}
+    back = {"csv": F.from_csv(F.to_csv(whole, signs), F.lit(schema), signs), "json": F.from_json(F.to_json(whole), schema, {"mode": "PERMISSIVE"})}
+    read = F.explode(F.array(*(F.struct(F.lit(name).alias("format"), parsed.alias("row")) for name, parsed in back.items()))).alias("r")
+    kept = (F.col("r.row.kind") == F.col("kind")) & F.col("r.row.item").eqNullSafe(F.col("item")) & F.col("r.row.price_cents").eqNullSafe(F.col("price_cents"))
+    count = lambda kind, ok: F.count_if((F.col("kind") == kind) & ok)
+    out = rows.select("kind", "item", "price_cents", read).withColumn("kept", F.coalesce(kept, F.lit(False))).groupBy(F.col("r.format").alias("format")).agg(
+        count("item", F.lit(True)).alias("expected_items"), count("item", F.col("kept")).alias("actual_items"), count("variant", F.lit(True)).alias("expected_variants"), count("variant", F.col("kept")).alias("actual_variants")
+    )
+    return out.withColumn("ok", (F.col("expected_items") == F.col("actual_items")) & (F.col("expected_variants") == F.col("actual_variants")))

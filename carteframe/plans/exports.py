@@ -102,3 +102,28 @@ def structured_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.when(key % 7 == 0, "abc").when(key % 5 == 0, F.concat(F.lit("$"), size.cast("string"), F.lit(".50"))).when(key % 3 == 0, (size * 100).cast("string")).when(key % 2 == 0, "").otherwise(size.cast("string"))
     rows = B.table(spark, sf_dir, "part").select("p_partkey", F.when(key % 11 == 0, " ").otherwise(F.col("p_name")).alias("name"), price.alias("price"), (key % 120).alias("confidence"))
     return X.validate(rows).select("p_partkey", "price_cents", F.array_join("errors", ",").alias("errors"))
+
+
+@query(f"""WITH {_BOTH}, w AS (SELECT *, CASE WHEN (item + ordinal) % 4 < 3 THEN (item + ordinal) % 4 END AS grp, CASE ordinal % 4 WHEN 0 THEN 'combo' WHEN 1 THEN 'size' WHEN 2 THEN 'odd' END AS kind FROM v),
+g AS (SELECT item, k AS grp, 'G' || k AS title, k = 1 AS required, 5 - k AS position FROM i, (VALUES (1), (2)) t(k) WHERE item % 3 > 0),
+r AS (SELECT item, 0 AS part, 0 AS place, 0 AS ordinal, CASE WHEN item % 5 = 0 THEN 'Uncategorized' ELSE category END AS menu_group, name AS menu_item, {_DOLLARS('price_cents')} AS base_price, '' AS option_group, '' AS option, '' AS option_price, '' AS required FROM i
+  UNION ALL SELECT item, 1, position, ordinal, '', '', '', title, label, {_DOLLARS('price_cents')}, CASE WHEN required THEN 'Y' ELSE 'N' END FROM w JOIN g USING (item, grp)
+  UNION ALL SELECT item, 2, min(ordinal) OVER (PARTITION BY item, coalesce(kind, 'size')), ordinal, '', '', '', CASE coalesce(kind, 'size') WHEN 'size' THEN 'Size' WHEN 'combo' THEN 'Combo Add-on' ELSE 'Option' END, label, {_DOLLARS('price_cents')}, '' FROM w WHERE grp IS NULL)
+SELECT item, row_number() OVER (PARTITION BY item ORDER BY part, place, ordinal) - 1 AS line, menu_group, menu_item, base_price, option_group, option, option_price, required FROM r""")
+def menu_option_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items without a category, with and without groups; variants of both groups, of none, and of a group that no item has."""
+    items, variants = _both(spark, sf_dir)
+    items = items.withColumn("category", F.when(F.col("item") % 5 > 0, F.col("category")))
+    place, kind = (F.col("item") + F.col("ordinal")) % 4, F.col("ordinal") % 4
+    variants = variants.withColumns({"grp": F.when(place < 3, place), "kind": F.when(kind == 0, "combo").when(kind == 1, "size").when(kind == 2, "odd")})
+    groups = items.where("item % 3 > 0").select("item", F.explode(F.array(F.lit(1), F.lit(2))).alias("grp"))
+    groups = groups.withColumns({"title": F.concat(F.lit("G"), F.col("grp").cast("string")), "required": F.col("grp") == 1, "position": 5 - F.col("grp")})
+    return X.option_rows(items, groups, variants)
+
+
+@query(f"WITH {_BOTH} SELECT f AS format, (SELECT count(*) FROM i) AS expected_items, (SELECT count(*) FROM i) AS actual_items, (SELECT count(*) FROM v) AS expected_variants, (SELECT count(*) FROM v) AS actual_variants, true AS ok FROM (VALUES ('csv'), ('json')) t(f)")
+def export_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with quotes, commas, line ends and backslashes."""
+    items, variants = _both(spark, sf_dir)
+    odd = F.concat(F.col("name"), F.when(F.col("item") % 4 == 0, ', "x"').when(F.col("item") % 4 == 1, "\nline; \\N").when(F.col("item") % 4 == 2, '"').otherwise(""))
+    return X.round_trips(items.withColumn("name", odd), variants)

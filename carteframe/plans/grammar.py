@@ -87,10 +87,9 @@ d AS (SELECT *, CASE role WHEN 'topping' THEN part WHEN 'made' THEN nullif(trim(
 SELECT x.pos, count(d.i) AS n_parts, coalesce(string_agg(topping, '|' ORDER BY i), '') AS toppings, max(CASE WHEN role = 'sauce' THEN trim(regexp_replace(k.word, ' (base|sauce|dressing)$', '')) END) AS sauce, max(CASE WHEN role = 'made' THEN by_way END) AS preparation,
   coalesce(string_agg(CASE WHEN role = 'flavor' THEN low END, '|' ORDER BY i), '') AS flavors FROM x LEFT JOIN d ON d.pos = x.pos GROUP BY 1""")
 def description_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _part(spark, sf_dir, line=_TOLD).select("pos", G.description_parts(F.col("line")).alias("parts"))
-    told = rows.select("pos", "parts", G.components(F.col("parts")).alias("c"))
+    told = cleaning.components(_part(spark, sf_dir, line=_TOLD), "line", "c")
     joined = lambda c: F.array_join(c, "|").alias(c.split(".")[1])
-    return told.select("pos", F.size("parts").cast("bigint").alias("n_parts"), joined("c.toppings"), "c.sauce", "c.preparation", joined("c.flavors"))
+    return told.select("pos", F.size("c.parts").cast("bigint").alias("n_parts"), joined("c.toppings"), "c.sauce", "c.preparation", joined("c.flavors"))
 
 
 _WIDE = ["{n}      {p}     Large", "CHEESEBURGER......     {n}  with  fries      ", "a     b", "{n}", None, "", "     ", "Soup ... of day     $ {p}     x     Salad..greens", "{n}\t \t  two", "12     34"]
