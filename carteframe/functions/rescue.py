@@ -73,12 +73,11 @@ def smoothed(text: Column) -> Column:
     return cleanup.token_soup(_replaced(spaced, (rf"(?i)\s(?:{'|'.join(JOINERS)})$", ""), (r"(?:(?:^| )\p{L})+$", "")))
 
 
-def soft_description(text: Column) -> Column:
-    """struct(text, salvaged): the cleaned description and how many of its tokens the raw one holds, per raw token."""
-    raw = _text(text)
-    clean = joined(without_symbols(spelled_with(smoothed(marks(cleanup.runs(raw))))))
-    found = F.size(F.filter(_words(clean), lambda t: F.contains(F.lower(raw), F.lower(t))))
-    return F.struct(clean.alias("text"), F.when(raw == "", 0.0).otherwise(found / F.greatest(F.size(_words(raw)), F.lit(1))).alias("salvaged"))
+def salvaged(raw: Column, clean: Column) -> Column:
+    """How many tokens of the cleaned description the raw one holds, per raw token; 0 for an empty one."""
+    low = F.lower(_text(raw))
+    found = F.size(F.filter(_words(clean), lambda t: F.contains(low, F.lower(t))))
+    return F.when(_text(raw) == "", 0.0).otherwise(found / F.greatest(F.size(_words(_text(raw))), F.lit(1)))
 
 
 def tagged(raw: Column, clean: Column, salvaged: Column) -> Column:

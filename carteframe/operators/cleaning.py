@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cleanup
 from ..functions import grammar as G
 from ..functions import rescue as R
 
@@ -16,10 +17,13 @@ def cleaned_items(items: DataFrame, name: str = "name", description: str = "desc
     step = items.withColumn("_raw", raw(description)).withColumn("_name", R.item_name(raw(name)))
     step = step.withColumn("_split", R.rescued(F.col("_name"), F.col("_raw")))
     step = step.withColumn("_whole", F.trim(F.concat_ws(" ", F.nullif("_raw", F.lit("")), F.nullif("_split.tail", F.lit("")))))
-    step = step.withColumn("_soft", R.soft_description(F.col("_whole")))
-    told = R.tagged(F.col("_whole"), F.col("_soft.text"), F.col("_soft.salvaged"))
+    step = step.withColumn("_soft", R.spelled_with(R.smoothed(R.marks(cleanup.runs(F.col("_whole"))))))
+    step = step.withColumn("_soft", R.without_symbols(F.col("_soft")))
+    step = step.withColumn("_soft", R.joined(F.col("_soft")))
+    step = step.withColumn("_salvaged", R.salvaged(F.col("_whole"), F.col("_soft")))
+    told = R.tagged(F.col("_whole"), F.col("_soft"), F.col("_salvaged"))
     shown = F.coalesce(F.nullif("_split.name", F.lit("")), raw(name))
-    return step.withColumns({name: shown, description: told}).drop("_raw", "_name", "_split", "_whole", "_soft")
+    return step.withColumns({name: shown, description: told}).drop("_raw", "_name", "_split", "_whole", "_soft", "_salvaged")
 
 
 def components(rows: DataFrame, text: str, name: str = "components") -> DataFrame:
