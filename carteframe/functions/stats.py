@@ -9,6 +9,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Running sums and look-ups in order go by stretches of 2 ** STRETCH whole numbers, so that a task's share has at most so
+#: many distinct ones however large a group is; what precedes a stretch is added from one row for each.
+STRETCH = 12
+
+
+def running_sums(rows: DataFrame, keys: Sequence[str], x: str, value: str, name: str) -> DataFrame:
+    """rows with the sum of value at lower x (bigint, one row for each of a group) as name."""
+    cut = rows.withColumn("_stretch", F.shiftright(x, STRETCH))
+    lower = (W.unboundedPreceding, -1)
+    sums = cut.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_sum"))
+    before = sums.select(*keys, "_stretch", F.sum("_sum").over(W.partitionBy(*keys).orderBy("_stretch").rowsBetween(*lower)).alias("_before"))
+    inside = cut.withColumn("_inside", F.sum(value).over(W.partitionBy(*keys, "_stretch").orderBy(x).rowsBetween(*lower)))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return inside.join(before, [*keys, "_stretch"]).withColumn(name, zero("_inside") + zero("_before")).drop("_stretch", "_inside", "_before")
+
+
+def as_of(points: DataFrame, queries: DataFrame, keys: Sequence[str], x: str, value: str) -> DataFrame:
+    """keys, x and value for each distinct keys and x (bigint) of queries: that of the group's last point at x or lower; left out if there is none."""
+    known = points.select(*keys, x, F.struct(x, value).alias("_point"))
+    asked = queries.select(*keys, x).distinct()
+    every = known.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True).withColumn("_stretch", F.shiftright(x, STRETCH))
+    last = every.groupBy(*keys, "_stretch").agg(F.max("_point").alias("_point"))
+    before = last.select(*keys, "_stretch", F.max("_point").over(W.partitionBy(*keys).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    inside = every.withColumn("_inside", F.max("_point").over(W.partitionBy(*keys, "_stretch").orderBy(x).rangeBetween(W.unboundedPreceding, W.currentRow)))
+    found = inside.where("_asked").join(before, [*keys, "_stretch"]).withColumn("_found", F.coalesce("_inside", "_before"))
+    return found.where("_found is not null").select(*keys, x, F.col("_found")[value].alias(value))
+
+
 def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, picks: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
     """keys, n and, for each pick, the value at a rank (from 0) that is a function of n.
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stats
+
 #: Share and least cents of the price bands, tried in order until enough anchors match; most sources shown.
 BANDS, ENOUGH, LEAST, SOURCES = ((0.30, 300), (0.50, 500), (1.00, 800)), 3, 2, 8
 
@@ -22,23 +24,27 @@ def price_tiers(anchors: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def ranges(own: DataFrame, anchors: DataFrame, keys: Sequence[str] = ("category",)) -> DataFrame:
-    """Per cluster (keys and price_cents): band used, matches, low, high and upper median of the matching anchors.
-
-    Anchors match in the narrowest band that holds three; under two in the widest there is no range."""
-    price = F.col("price_cents")
-    widest = F.greatest(F.floor(price * BANDS[-1][0]), F.lit(BANDS[-1][1]))
-    pairs = own.select(*keys, "price_cents").distinct().join(price_tiers(anchors, keys), list(keys)).withColumn("off", F.abs(F.col("anchor_price") - price)).where(F.col("off") <= widest)
-    within = [F.col("off") <= F.greatest(F.floor(price * share), F.lit(cents)) for share, cents in BANDS]
-    counted = pairs.groupBy(*keys, "price_cents").agg(*(F.sum(F.when(w, F.col("c")).otherwise(0)).alias(f"n{k}") for k, w in enumerate(within)))
-    band = F.when(F.col("n0") >= ENOUGH, 0).when(F.col("n1") >= ENOUGH, 1).otherwise(2)
-    chosen = counted.withColumn("band", band).withColumn("n", F.element_at(F.array("n0", "n1", "n2"), F.col("band") + 1)).where(F.col("n") >= LEAST).select(*keys, "price_cents", "band", "n")
-    used = pairs.join(chosen, [*keys, "price_cents"]).where(F.when(F.col("band") == 0, within[0]).when(F.col("band") == 1, within[1]).otherwise(within[2]))
-    # upper median: prices with their counts, the first whose running count passes n div 2
-    tiers = F.array_sort(F.collect_list(F.struct("anchor_price", "c")))
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("bigint").alias("price"))
-    walk = lambda acc, t: F.struct((acc["seen"] + t["c"]).alias("seen"), F.coalesce(acc["price"], F.when(acc["seen"] + t["c"] > F.col("half"), t["anchor_price"])).alias("price"))
-    grouped = used.groupBy(*keys, "price_cents", "band", "n").agg(F.min("anchor_price").alias("low"), F.max("anchor_price").alias("high"), tiers.alias("tiers")).withColumn("half", F.floor(F.col("n") / 2))
-    return grouped.withColumn("median", F.aggregate("tiers", start, walk)["price"]).drop("tiers", "half")
+    """Per cluster (keys and price_cents over 0): band used, matches, low, high and upper median of the matching anchors.
+
+    Anchors match in the narrowest band that holds three; under two in the widest there is no range. A cluster meets no
+    anchors: running counts of the anchors' prices are looked up at the ends of its bands, then prices at three ranks."""
+    price, cluster = F.col("price_cents"), [*keys, "price_cents"]
+    tiers = stats.running_sums(price_tiers(anchors, keys), keys, "anchor_price", "c", "before")
+    reach = [F.greatest(F.floor(price * share), F.lit(cents)) for share, cents in BANDS]
+    ends = F.array(*(F.struct(F.lit(name).alias("end"), at.alias("anchor_price")) for k, r in enumerate(reach) for name, at in ((f"from{k}", price - r - 1), (f"to{k}", price + r))))
+    asked = own.where(price > 0).select(*cluster).distinct().select(*cluster, F.inline(ends))
+    counts = stats.as_of(tiers.withColumn("n", F.col("before") + F.col("c")), asked.where("anchor_price > 0"), keys, "anchor_price", "n")
+    at = lambda name: F.coalesce(F.max(F.when(F.col("end") == name, F.col("n"))), F.lit(0)).alias(name)
+    counted = asked.join(counts, [*keys, "anchor_price"]).groupBy(*cluster).agg(*(at(f"{side}{k}") for k in range(len(BANDS)) for side in ("from", "to")))
+    within = [F.col(f"to{k}") - F.col(f"from{k}") for k in range(len(BANDS))]
+    band = F.when(within[0] >= ENOUGH, 0).when(within[1] >= ENOUGH, 1).otherwise(2)
+    pick = lambda found: F.when(F.col("band") == 0, found[0]).when(F.col("band") == 1, found[1]).otherwise(found[2])
+    chosen = counted.withColumn("band", band).select(*cluster, "band", pick(within).alias("n"), pick([F.col(f"from{k}") for k in range(len(BANDS))]).alias("first")).where(F.col("n") >= LEAST)
+    # the upper median is at n div 2 of the matches, the first of which has as many anchors before it as the band's start
+    ranks = {"low": F.col("first"), "high": F.col("first") + F.col("n") - 1, "median": F.col("first") + F.floor(F.col("n") / 2)}
+    wanted = chosen.select(*cluster, "band", "n", F.inline(F.array(*(F.struct(F.lit(name).alias("pick"), rank.alias("before")) for name, rank in ranks.items()))))
+    prices = stats.as_of(tiers, wanted, keys, "before", "anchor_price")
+    return wanted.join(prices, [*keys, "before"]).groupBy(*cluster, "band", "n").agg(*(F.max(F.when(F.col("pick") == name, F.col("anchor_price"))).alias(name) for name in ranks))
 
 
 def top_sources(own: DataFrame, anchors: DataFrame, keys: Sequence[str], similarity: Column, least: int = 50, per_place: int = 2, top: int = SOURCES) -> DataFrame:

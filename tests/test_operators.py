@@ -357,3 +357,33 @@ def test_one_place_is_that_of_printf(spark):
     values = [0.0, 0.05, 0.15, 0.25, 0.35, 9.95, 12.45, -0.25, -0.35, 59.95, 1e13 + 0.25, *(k / 20 for k in range(400)), *(k / 100 for k in range(1000))]
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", price_texts.one_place(F.col("v")).alias("t")).collect()
     assert [r.t for r in got] == [f"{r.v:.1f}" for r in got]
+
+
+def test_market_ranges_match_all_pairs(spark):
+    """Against every pair, prices over several stretches, bands that end below 0, NULL and prices not over 0 on both sides."""
+    left, right = [*range(-5, 3000, 97), *range(3000, 60_000, 1009), None], [*range(0, 2000, 131), *range(4000, 80_000, 977), 4096, 4096, 8192, None]
+    own = spark.createDataFrame([(k, v) for k in ("a", "b", None) for v in left], "category string, price_cents bigint")
+    anchors = spark.createDataFrame([(k, v) for k, most in (("a", 10**9), ("b", 900), (None, 10**9)) for v in right if v is None or v < most], "category string, price_cents bigint")
+    expected = set()
+    for k, most in (("a", 10**9), ("b", 900)):
+        for p in (p for p in left if p and p > 0):
+            near = [sorted(v for v in right if v and 0 < v < most and abs(v - p) <= max(math.floor(p * share), cents)) for share, cents in market.BANDS]
+            band = 0 if len(near[0]) >= 3 else 1 if len(near[1]) >= 3 else 2
+            if len(found := near[band]) >= 2:
+                expected.add((k, p, band, len(found), found[0], found[-1], found[len(found) // 2]))
+    got = market.ranges(own, anchors).select("category", "price_cents", "band", "n", "low", "high", "median").collect()
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+
+
+def shuffled(spark, df) -> int:
+    """Bytes that running df writes for exchanges."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(e.totalShuffleWrite() for e in (found.apply(i) for found in [store.executorList(False)] for i in range(found.size())))
+    before = written()
+    df.collect()
+    return written() - before
+
+
+def test_market_ranges_shuffle_no_pairs(spark):
+    prices_ = spark.range(2000).select(F.lit("c").alias("category"), (10_000 + F.col("id")).alias("price_cents"))
+    assert shuffled(spark, market.ranges(prices_, prices_)) < 2_000_000
