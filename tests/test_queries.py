@@ -48,3 +48,16 @@ def test_query(spark, duck, small, name):
 
 def test_every_query_but_the_sequential_has_sql():
     assert set(registry.QUERIES) - set(registry.ORACLES) == {"duplicate_names_fuzzy", "header_mapping", "line_types", "rate_limit_admission", "category_classifier", "word_lines"}
+
+
+def test_price_assessment_makes_no_pairs(spark, tmp_path):
+    """2,000 own prices and 2,000 anchors in one category: all is compared with the SQL, next to nothing is exchanged."""
+    spark.sql("SELECT id AS p_partkey, 'pie' AS p_name, 'm' AS p_brand, 'ECONOMY' AS p_type, 1 AS p_size, CAST(10000 + id AS DOUBLE) AS p_retailprice FROM range(4000)").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(found.apply(i).totalShuffleWrite() for found in [store.executorList(False)] for i in range(found.size()))
+    before = written()
+    got = registry.QUERIES["price_assessment"](spark, str(tmp_path)).collect()
+    assert written() - before < 2_000_000
+    assert rows(got) == rows(con.sql(registry.ORACLES["price_assessment"]).fetchall())
