@@ -47,14 +47,33 @@ def ranges(own: DataFrame, anchors: DataFrame, keys: Sequence[str] = ("category"
     return wanted.join(prices, [*keys, "before"]).groupBy(*cluster, "band", "n").agg(*(F.max(F.when(F.col("pick") == name, F.col("anchor_price"))).alias(name) for name in ranks))
 
 
-def top_sources(own: DataFrame, anchors: DataFrame, keys: Sequence[str], similarity: Column, least: int = 50, per_place: int = 2, top: int = SOURCES) -> DataFrame:
-    """Per own item its anchors by name similarity: per_place of a place and top in all at most. Ties go to the least price and id."""
+def top_sources(own: DataFrame, anchors: DataFrame, keys: Sequence[str], own_tokens: Column, anchor_tokens: Column, least: int = 50, per_place: int = 2, top: int = SOURCES) -> DataFrame:
+    """Per own item its anchors by token similarity (at least 1): per_place of a place and top in all at most. Ties go to the least price and id.
+
+    Own rows have keys and a unique item_id, anchors keys, anchor_id, place_id and anchor_price. Similarity depends on the
+    sets of tokens only, so sets are compared, each once for its keys: an anchor behind per_place others of its set and place
+    is behind them for every item, and items of one set have the same sources. A set that is similar enough shares one of
+    any (size - least shared + 1) own tokens, so sets meet by that many of the own tokens rarest among the anchors' sets."""
     from pyspark.sql import Window as W
 
-    pairs = own.join(anchors, list(keys)).withColumn("similarity", similarity).where(F.col("similarity") >= least)
-    order = [F.desc("similarity"), F.col("anchor_price"), F.col("anchor_id")]
-    near = pairs.withColumn("_p", F.row_number().over(W.partitionBy("item_id", "place_id").orderBy(*order))).where(F.col("_p") <= per_place)
-    return near.withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(*order))).where(F.col("rank") <= top).drop("_p")
+    share = lambda k, n: F.floor(100 * k / n + 0.5).cast("int")
+    mine = own.withColumn("_own", F.array_sort(own_tokens)).where(F.size("_own") > 0)
+    theirs = anchors.select(*keys, "anchor_id", "place_id", "anchor_price", F.array_sort(anchor_tokens).alias("_theirs"))
+    cheap = [F.col("anchor_price").asc_nulls_last(), F.col("anchor_id")]
+    first = theirs.withColumn("_p", F.row_number().over(W.partitionBy(*keys, "_theirs", "place_id").orderBy(*cheap))).where(F.col("_p") <= per_place).drop("_p")
+    words = theirs.select(*keys, "_theirs").distinct().withColumn("_w", F.explode("_theirs"))
+    counts = words.groupBy(*keys, "_w").agg(F.count("*").alias("_c"))
+    sets = mine.select(*keys, "_own").distinct()
+    # of n tokens the fewest that may be shared, and so how many of the rarest must be looked up; those no anchor has count as rarest
+    needed = F.array_min(F.filter(F.sequence(F.lit(1), F.size("_own")), lambda k: share(k, F.size("_own")) >= least))
+    ranked = sets.where(needed.isNotNull()).withColumn("_w", F.explode("_own")).join(counts, [*keys, "_w"], "left").groupBy(*keys, "_own").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), "_w"))).alias("_rare"))
+    looked = ranked.select(*keys, "_own", F.explode(F.transform(F.slice("_rare", F.lit(1), F.size("_own") - needed + 1), lambda r: r["_w"])).alias("_w"))
+    met = looked.join(words, [*keys, "_w"]).select(*keys, "_own", "_theirs").distinct()
+    similar = met.withColumn("similarity", share(F.size(F.array_intersect("_own", "_theirs")), F.size("_own"))).where(F.col("similarity") >= least)
+    order = [F.desc("similarity"), *cheap]
+    near = similar.join(first, [*keys, "_theirs"]).withColumn("_p", F.row_number().over(W.partitionBy(*keys, "_own", "place_id").orderBy(*order))).where(F.col("_p") <= per_place)
+    best = near.withColumn("rank", F.row_number().over(W.partitionBy(*keys, "_own").orderBy(*order))).where(F.col("rank") <= top).drop("_p", "_theirs")
+    return mine.join(best, [*keys, "_own"]).drop("_own")
 
 
 def assessment(price: Column, low: Column, high: Column, median: Column) -> Column:

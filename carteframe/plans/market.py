@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions import prices as P
-from ..operators import catalog, market
+from ..operators import market
 from ..sources import bindings as B
 from .catalog import TOKENS
 from .registry import query
@@ -47,7 +48,7 @@ def market_sources_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, anchors = _split(spark, sf_dir)
     own = own.select("menu_id", "category", F.col("pos").alias("item_id"), "name")
     anchors = anchors.select("menu_id", "category", F.col("pos").alias("anchor_id"), F.col("place").alias("place_id"), F.col("name").alias("anchor_name"), F.col("price_cents").alias("anchor_price"))
-    out = market.top_sources(own, anchors, ["menu_id", "category"], catalog.token_similarity(F.col("name"), F.col("anchor_name")))
+    out = market.top_sources(own, anchors, ["menu_id", "category"], names.menu_tokens(F.col("name")), names.menu_tokens(F.col("anchor_name")))
     return out.select("item_id", "anchor_id", "similarity", "rank")
 
 

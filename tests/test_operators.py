@@ -2,6 +2,7 @@
 
 import collections
 import difflib
+import itertools
 import json
 import math
 import re
@@ -387,3 +388,31 @@ def shuffled(spark, df) -> int:
 def test_market_ranges_shuffle_no_pairs(spark):
     prices_ = spark.range(2000).select(F.lit("c").alias("category"), (10_000 + F.col("id")).alias("price_cents"))
     assert shuffled(spark, market.ranges(prices_, prices_)) < 2_000_000
+
+
+def test_top_sources_compare_sets_once(spark):
+    """Every pair in plain Python, and the number of times that names are compared: 40,000 anchors and items with 9 names make no 400 million pairs."""
+    words = ["ham", "pie", "soup", "kale"]
+    tokens = lambda c: F.split(c, " ")
+    menu = [" ".join(w) for n in (1, 2, 3) for w in itertools.combinations(words, n)]
+    own = [(k, 1000 * k + i, menu[i % len(menu)]) for k in (1, 2) for i in range(20)]
+    anchors = [(k, 5000 * k + i, i % 3, menu[(i * 7) % len(menu)], None if i % 11 == 0 else 100 + i * 37 % 50) for k in (1, 2) for i in range(60 * k)]
+    expected = set()
+    for k, item, name in own:
+        mine = set(name.split())
+        score = lambda n, mine=mine: math.floor(100 * len(mine & set(n.split())) / len(mine) + 0.5)
+        order = sorted((-score(n), price is None, price, a, place) if price else (-score(n), True, 0, a, place) for key, a, place, n, price in anchors if key == k and score(n) >= 50)
+        seen, kept = collections.Counter(), []
+        for s, _, _, a, place in order:
+            seen[place] += 1
+            if seen[place] <= 2:
+                kept.append((item, a, -s))
+        expected |= {(*row, rank) for rank, row in enumerate(kept[:8], 1)}
+    left = spark.createDataFrame(own, "menu int, item_id int, name string")
+    right = spark.createDataFrame(anchors, "menu int, anchor_id int, place_id int, anchor_name string, anchor_price int")
+    got = market.top_sources(left, right, ["menu"], tokens(F.col("name")), tokens(F.col("anchor_name"))).select("item_id", "anchor_id", "similarity", "rank").collect()
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+    many = spark.range(20_000).withColumn("menu", F.lit(1)).withColumn("name", F.element_at(F.array(*map(F.lit, menu)), (F.col("id") % len(menu) + 1).cast("int")))
+    right = many.select("menu", F.col("id").alias("anchor_id"), (F.col("id") % 10).alias("place_id"), F.col("name").alias("anchor_name"), F.lit(1).alias("anchor_price"))
+    out = market.top_sources(many.withColumnRenamed("id", "item_id"), right, ["menu"], tokens(F.col("name")), tokens(F.col("anchor_name")))
+    assert out.count() == 160_000
