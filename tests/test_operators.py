@@ -416,3 +416,15 @@ def test_top_sources_compare_sets_once(spark):
     right = many.select("menu", F.col("id").alias("anchor_id"), (F.col("id") % 10).alias("place_id"), F.col("name").alias("anchor_name"), F.lit(1).alias("anchor_price"))
     out = market.top_sources(many.withColumnRenamed("id", "item_id"), right, ["menu"], tokens(F.col("name")), tokens(F.col("anchor_name")))
     assert out.count() == 160_000
+
+
+def test_fan_out_deals_one_type_to_many_tasks(spark):
+    """All events of one type and 2,500 subscribers to all restaurants, one without a name: the pairs of no task are many more than a share."""
+    events = spark.range(600).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"), (F.col("id") % 2).alias("owner"))
+    subs = spark.range(2500).select(F.when(F.col("id") > 0, F.col("id")).alias("subscriber"), F.when(F.col("id") % 5 == 0, F.lit(1)).alias("owner"), F.lit("click, View").alias("events"))
+    out = drafts.fan_out(events, subs, "owner")
+    shares = out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.count("subscriber").alias("named")).collect()
+    assert sum(r.n for r in shares) == 600 * 2000 + 300 * 500
+    assert sum(r.ids for r in shares) == sum(range(600)) * 2000 + sum(range(1, 600, 2)) * 500
+    assert sum(r.n - r.named for r in shares) == 300
+    assert max(r.n for r in shares) < 0.2 * sum(r.n for r in shares)
