@@ -332,6 +332,20 @@ def test_good_documents_are_kept(spark, small):
     assert sum(not r.kept for r in rows) <= 0.02 * len(rows) + 1
 
 
+def test_fit_uses_all_rows(spark):
+    """More rows and labels than any sample held: each row is in a tree, thresholds are the exact ranks among all good rows."""
+    n = 30_000
+    some = lambda k, most: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(most))
+    counts = {"n_words": 100 + some(1, 400), "n_symbols": some(2, 9), "n_dup_lines": some(3, 5), "n_repeat_words": some(4, 25), "n_lines": 10 + some(5, 20), "n_upper": some(6, 60), "n_marks": some(7, 8)}
+    stats = spark.range(n).withColumnRenamed("id", "doc_id").withColumns(counts).withColumn("word_chars", F.col("n_words") * 5 + some(8, 300)).select("doc_id", *quality.COUNTS)
+    judge = quality.fit(stats, spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")))
+    assert [forest.size * quality.TREES for _, forest in judge.forests] == [n] * len(quality.GROUPS)
+    rows = stats.toPandas()
+    steps, lost = judge.steps(quality.features({c: rows[c].to_numpy() for c in quality.COUNTS})), int(quality.GOOD_LOST * n)
+    for found, (_, forest) in zip(steps, judge.forests):
+        assert (found > forest.threshold).sum() <= lost < (found >= forest.threshold).sum()
+
+
 # ---- archives
 
 
