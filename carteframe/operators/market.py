@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stats
 
 #: Share and least cents of the price bands, tried in order until enough anchors match; most sources shown.
 BANDS, ENOUGH, LEAST, SOURCES = ((0.30, 300), (0.50, 500), (1.00, 800)), 3, 2, 8
+#: Distinct anchor prices, about, up to which all of them are sent to every task: two to four bytes each as sent, 16 in a task.
+SENT = 1 << 20
 
 
 def clusters(items: DataFrame, keys: Sequence[str] = ("category", "price_cents")) -> DataFrame:
@@ -47,6 +53,70 @@ def ranges(own: DataFrame, anchors: DataFrame, keys: Sequence[str] = ("category"
     return wanted.join(prices, [*keys, "before"]).groupBy(*cluster, "band", "n").agg(*(F.max(F.when(F.col("pick") == name, F.col("anchor_price"))).alias(name) for name in ranks))
 
 
+def with_ranges(own: DataFrame, anchors: DataFrame, keys: Sequence[str] = ("category",), most: int = SENT) -> DataFrame:
+    """Own rows (price_cents bigint) that have a range, with its band, n, low, high and median as in ranges.
+
+    While the anchors have some most distinct prices (estimated) or fewer, every task gets them with their counts and looks its
+    own rows up, so that no own row is exchanged; if they have more, own rows are joined to the ranges. The rows are the same."""
+    told = [F.col(name) for name in ("band", "n", "low", "high", "median")]
+    priced = anchors.where("price_cents > 0")
+    if priced.agg(F.approx_count_distinct(F.struct(*keys, "price_cents"))).first()[0] > most:
+        return own.join(ranges(own, anchors, keys), [*keys, "price_cents"]).select(*own.columns, *told)
+    tiers = price_tiers(priced.dropna(subset=list(keys)), keys).toArrow().sort_by([("anchor_price", "ascending")])
+    schema = T.StructType([*own.schema.fields, T.StructField("band", T.IntegerType()), *(T.StructField(name, T.LongType()) for name in ("n", "low", "high", "median"))])
+    return own.where("price_cents > 0").mapInArrow(_looked_up(_packed(tiers, keys), keys), schema)
+
+
+def _by_key(columns: Sequence[pa.Array], n: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The values of the columns that occur in n rows, and the numbers of their rows in order."""
+    code = np.zeros(n, np.int64)
+    for column in columns:
+        kinds = column.dictionary_encode(null_encoding="encode")
+        code = np.unique(code * len(kinds.dictionary) + kinds.indices.to_numpy(), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if n else ():
+        yield tuple(column[int(at[0])].as_py() for column in columns), at
+
+
+def _packed(tiers: pa.Table, keys: Sequence[str]) -> dict[tuple, tuple[bytes, bytes]]:
+    """Of each key the steps from one anchor price to the next and the counts, compressed; tiers are in order of price."""
+    price, c = (tiers.column(name).to_numpy() for name in ("anchor_price", "c"))
+    pack = lambda values: zlib.compress(values.astype("<i8").tobytes())
+    return {key: (pack(np.diff(price[at], prepend=0)), pack(c[at])) for key, at in _by_key([tiers.column(k).combine_chunks() for k in keys], tiers.num_rows)}
+
+
+def _looked_up(packed: dict[tuple, tuple[bytes, bytes]], keys: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def found(p: np.ndarray, prices: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Which of the own prices p have a range, and band, n, low, high and median of those; before: anchors under each price."""
+        reach = [np.maximum(np.floor(p * share).astype(np.int64) if share < 1 else p, cents) for share, cents in BANDS]
+        start = np.stack([np.searchsorted(prices, p - r) for r in reach])
+        end = np.stack([np.searchsorted(prices, p + np.minimum(r, np.iinfo(np.int64).max - p), "right") for r in reach])
+        n = before[end] - before[start]
+        band = np.where(n[0] >= ENOUGH, 0, np.where(n[1] >= ENOUGH, 1, 2))
+        start, end, n = (np.take_along_axis(x, band[None], 0)[0] for x in (start, end, n))
+        kept = np.flatnonzero(n >= LEAST)
+        start, end, n = start[kept], end[kept], n[kept]
+        median = prices[np.searchsorted(before, before[start] + n // 2, "right") - 1]
+        return kept, band[kept], n, prices[start], prices[end - 1], median
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda data: np.cumsum(np.frombuffer(zlib.decompress(data), "<i8"))
+        index = {key: (read(steps), np.concatenate([[0], read(counts)])) for key, (steps, counts) in packed.items()}
+        for batch in batches:
+            price = batch.column("price_cents").to_numpy().astype(np.int64)
+            parts = []
+            for key, at in _by_key([batch.column(k) for k in keys], batch.num_rows):
+                if key in index:
+                    kept, *told = found(price[at], *index[key])
+                    parts.append((at[kept], *told))
+            if parts:
+                at, band, *told = (np.concatenate(x) for x in zip(*parts, strict=True))
+                out = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(band, pa.int32()), *(pa.array(x, pa.int64()) for x in told)], [*out.schema.names, "band", "n", "low", "high", "median"])
+
+    return run
+
+
 def top_sources(own: DataFrame, anchors: DataFrame, keys: Sequence[str], own_tokens: Column, anchor_tokens: Column, least: int = 50, per_place: int = 2, top: int = SOURCES) -> DataFrame:
     """Per own item its anchors by token similarity (at least 1): per_place of a place and top in all at most. Ties go to the least price and id.
 

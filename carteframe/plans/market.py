@@ -37,7 +37,7 @@ def market_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM own o JOIN ranges r ON r.category = o.category AND r.price_cents = o.price_cents""")
 def price_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, anchors = _split(spark, sf_dir)
-    rows = own.join(market.ranges(own, anchors), ["category", "price_cents"])
+    rows = market.with_ranges(own.select("pos", "category", "price_cents"), anchors)
     return rows.select("pos", "price_cents", market.assessment(F.col("price_cents"), F.col("low"), F.col("high"), F.col("median")).alias("assessment"))
 
 

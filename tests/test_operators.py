@@ -376,6 +376,35 @@ def test_market_ranges_match_all_pairs(spark):
     assert len(got) == len(expected) and {tuple(r) for r in got} == expected
 
 
+@pytest.mark.parametrize("most", [0, market.SENT])
+def test_rows_get_their_range_by_either_path(spark, most):
+    """Against every pair: two keys, NULL and prices not over 0 on both sides, prices that repeat, keys without anchors."""
+    pairs = [("a", 1), ("a", 2), ("b", 1), ("c", 1), (None, 1), ("a", None)]
+    left, right = [*range(-5, 3000, 97), *range(3000, 60_000, 3011), 900, 900, None], [*range(0, 2000, 131), *range(4000, 80_000, 1977), 4096, 4096, 4096, 8192, None]
+    own = spark.createDataFrame([(i, *k, v) for i, (k, v) in enumerate(itertools.product(pairs, left))], "pos bigint, category string, menu int, price_cents bigint")
+    known = [(*k, v) for k, most_ in ((("a", 1), 10**9), (("a", 2), 900), (("b", 1), 140), ((None, 1), 10**9), (("a", None), 10**9)) for v in right if v is None or v < most_]
+    anchors = spark.createDataFrame(known, "category string, menu int, price_cents bigint").repartition(3)
+    expected = set()
+    for i, (k, p) in enumerate(itertools.product(pairs, left)):
+        if None not in k and p and p > 0:
+            near = [sorted(v for *a, v in known if tuple(a) == k and v and v > 0 and abs(v - p) <= max(math.floor(p * share), cents)) for share, cents in market.BANDS]
+            band = 0 if len(near[0]) >= 3 else 1 if len(near[1]) >= 3 else 2
+            if len(found := near[band]) >= 2:
+                expected.add((i, *k, p, band, len(found), found[0], found[-1], found[len(found) // 2]))
+    got = market.with_ranges(own, anchors, ["category", "menu"], most).collect()
+    assert {r[4] for r in expected} == {0, 1, 2}
+    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+    assert got[0].__fields__ == ["pos", "category", "menu", "price_cents", "band", "n", "low", "high", "median"]
+    assert not market.with_ranges(own, anchors.where("false"), ["category", "menu"], most).collect()
+
+
+def test_ranges_of_the_largest_prices(spark):
+    top = 2**63 - 1
+    rows_ = spark.createDataFrame([(top,), (top - 5,), (top - 9,)], "price_cents bigint").withColumn("category", F.lit("a"))
+    got = market.with_ranges(rows_, rows_).select("price_cents", "band", "n", "low", "high", "median").collect()
+    assert {tuple(r) for r in got} == {(top - k, 0, 3, top - 9, top, top - 5) for k in (0, 5, 9)}
+
+
 def shuffled(spark, df) -> int:
     """Bytes that running df writes for exchanges."""
     store = spark.sparkContext._jsc.sc().statusStore()

@@ -61,3 +61,18 @@ def test_price_assessment_makes_no_pairs(spark, tmp_path):
     got = registry.QUERIES["price_assessment"](spark, str(tmp_path)).collect()
     assert written() - before < 2_000_000
     assert rows(got) == rows(con.sql(registry.ORACLES["price_assessment"]).fetchall())
+
+
+def test_price_assessment_exchanges_less_than_it_reads(spark, tmp_path):
+    """40,000 parts, nearly all of a price of their own: own rows stay where they are read, only the anchors' prices are counted over an exchange."""
+    made = "SELECT id AS p_partkey, 'pie' AS p_name, 'm' AS p_brand, element_at(array('ECONOMY', 'SMALL', 'PROMO'), CAST(1 + id DIV 2 % 3 AS INT)) AS p_type, CAST(1 + xxhash64(id) & 31 AS INT) AS p_size, CAST(900 + (xxhash64(id, 1) & 1048575) / 100 AS DOUBLE) AS p_retailprice FROM range(40000)"
+    spark.sql(made).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    read = sum(p.stat().st_size for p in tmp_path.glob("part.parquet/*.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(found.apply(i).totalShuffleWrite() for found in [store.executorList(False)] for i in range(found.size()))
+    before = written()
+    got = registry.QUERIES["price_assessment"](spark, str(tmp_path)).collect()
+    assert written() - before < read
+    assert len(got) > 19_000 and rows(got) == rows(con.sql(registry.ORACLES["price_assessment"]).fetchall())
