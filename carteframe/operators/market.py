@@ -15,8 +15,8 @@ from ..functions import stats
 
 #: Share and least cents of the price bands, tried in order until enough anchors match; most sources shown.
 BANDS, ENOUGH, LEAST, SOURCES = ((0.30, 300), (0.50, 500), (1.00, 800)), 3, 2, 8
-#: Distinct anchor prices, about, up to which all of them are sent to every task: two to four bytes each as sent, 16 in a task.
-SENT = 1 << 20
+#: Distinct anchor prices, about, up to which all of them are sent to every task, some two bytes each as sent and 16 in a task; a key counts as KEY prices.
+SENT, KEY = 1 << 20, 1 << 10
 
 
 def clusters(items: DataFrame, keys: Sequence[str] = ("category", "price_cents")) -> DataFrame:
@@ -56,11 +56,12 @@ def ranges(own: DataFrame, anchors: DataFrame, keys: Sequence[str] = ("category"
 def with_ranges(own: DataFrame, anchors: DataFrame, keys: Sequence[str] = ("category",), most: int = SENT) -> DataFrame:
     """Own rows (price_cents bigint) that have a range, with its band, n, low, high and median as in ranges.
 
-    While the anchors have some most distinct prices (estimated) or fewer, every task gets them with their counts and looks its
-    own rows up, so that no own row is exchanged; if they have more, own rows are joined to the ranges. The rows are the same."""
+    While the anchors have some most distinct prices (estimated) or fewer in few keys, every task gets them with their counts and looks
+    its own rows up, so that no own row is exchanged; if they have more, own rows are joined to the ranges. The rows are the same."""
     told = [F.col(name) for name in ("band", "n", "low", "high", "median")]
     priced = anchors.where("price_cents > 0")
-    if priced.agg(F.approx_count_distinct(F.struct(*keys, "price_cents"))).first()[0] > most:
+    n_prices, n_keys = priced.agg(*(F.approx_count_distinct(F.struct(*keys, *more)) for more in (["price_cents"], []))).first()
+    if n_prices + KEY * n_keys > most:
         return own.join(ranges(own, anchors, keys), [*keys, "price_cents"]).select(*own.columns, *told)
     tiers = price_tiers(priced.dropna(subset=list(keys)), keys).toArrow().sort_by([("anchor_price", "ascending")])
     schema = T.StructType([*own.schema.fields, T.StructField("band", T.IntegerType()), *(T.StructField(name, T.LongType()) for name in ("n", "low", "high", "median"))])

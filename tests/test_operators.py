@@ -398,6 +398,13 @@ def test_rows_get_their_range_by_either_path(spark, most):
     assert not market.with_ranges(own, anchors.where("false"), ["category", "menu"], most).collect()
 
 
+def test_prices_of_many_keys_are_joined(spark):
+    """5,000 prices of one category are sent, one price in each of 5,000 categories isn't: tasks would hold an entry for each."""
+    plan = lambda rows_: market.with_ranges(rows_, rows_)._jdf.queryExecution().toString()
+    price = spark.range(5000).select((10_000 + F.col("id")).alias("price_cents"), F.col("id").cast("string").alias("category"))
+    assert "MapInArrow" in plan(price.withColumn("category", F.lit("c"))) and "MapInArrow" not in plan(price)
+
+
 def test_ranges_of_the_largest_prices(spark):
     top = 2**63 - 1
     rows_ = spark.createDataFrame([(top,), (top - 5,), (top - 9,)], "price_cents bigint").withColumn("category", F.lit("a"))
