@@ -464,3 +464,33 @@ def test_fan_out_deals_one_type_to_many_tasks(spark):
     assert sum(r.ids for r in shares) == sum(range(600)) * 2000 + sum(range(1, 600, 2)) * 500
     assert sum(r.n - r.named for r in shares) == 300
     assert max(r.n for r in shares) < 0.2 * sum(r.n for r in shares)
+
+
+@pytest.mark.parametrize("most", [0, drafts.SENT])
+def test_fan_out_makes_every_pair_by_either_path(spark, most):
+    """Against every pair: more than a list and a block of a key, NULL in each column, owners and types that only one side has, twins."""
+    kinds, owners = ["view", "click", "signup", None], [1, 2, 3, None]
+    events = [(i if i % 50 else None, kinds[i % 4 if i > 300 else 0], owners[i // 4 % 4 if i > 300 else 0]) for i in range(500)]
+    subs = [(f"s{i // 2}" if i % 40 else None, [1, 2, 4, None][i % 4 if i > 400 else 3], ["view", "View , click", "other", None, ""][i % 5 if i > 400 else 0]) for i in range(600)]
+    types = [{k.strip().lower() for k in (s[2] or "").split(",")} for s in subs]
+    expected = collections.Counter((e, s) for e, kind, at in events for (s, of, _), known in zip(subs, types, strict=True) if kind in known and (of is None or of == at))
+    left = spark.createDataFrame(events, "event_id bigint, event_type string, owner bigint").repartition(3)
+    got = drafts.fan_out(left, spark.createDataFrame(subs, "subscriber string, owner bigint, events string"), "owner", most)
+    assert got.columns == ["event_id", "subscriber"] and collections.Counter(map(tuple, got.collect())) == expected
+
+
+def test_fan_out_exchanges_no_events_in_vain(spark):
+    """100 of 40,000 events have subscribers; lists aren't exchanged in copies."""
+    events = spark.range(40_000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 400 == 0, "view").otherwise("signup").alias("event_type"), F.lit(1).alias("owner"))
+    subs = spark.range(2000).select(F.col("id").alias("subscriber"), F.when(F.col("id") % 4 > 0, F.col("id") % 50).alias("owner"), F.lit("view").alias("events"))
+    assert shuffled(spark, drafts.fan_out(events, subs, "owner")) < 150_000
+
+
+def test_fan_out_files_are_small(spark, tmp_path, monkeypatch):
+    """Every pair is written, in few bytes: a list's subscribers repeat at short distance."""
+    monkeypatch.setattr(drafts, "SLICES", 4)
+    events = spark.range(512).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"), F.lit(1).alias("owner"))
+    subs = spark.range(4999).select(F.col("id").alias("subscriber"), F.lit(None).cast("int").alias("owner"), F.lit("view").alias("events"))
+    drafts.fan_out(events, subs, "owner").write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 512 * 4999
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 512 * 4999
